@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from inkspark.llm import language_id, lm_score
+from inkspark.llm import language_id, lm_score, minhash_dedup
 
 QUERIES = {
     "op2_language_id": language_id.query,
     "op3_lm_score": lm_score.query,
+    "op5_minhash_dedup": minhash_dedup.query,
 }
 ORACLES: dict[str, str] = {}
