@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from inkspark.llm import language_id, lm_score, minhash_dedup
+from inkspark.llm import decontaminate, language_id, lm_score, minhash_dedup
 
 QUERIES = {
     "op2_language_id": language_id.query,
     "op3_lm_score": lm_score.query,
     "op5_minhash_dedup": minhash_dedup.query,
+    "op10_decontaminate": decontaminate.query,
+}
+ORACLES: dict[str, str] = {
+    "op10_decontaminate": decontaminate.ORACLE,
 }
-ORACLES: dict[str, str] = {}
