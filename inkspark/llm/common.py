@@ -47,28 +47,22 @@ def bucket_of(key: Column, n: Column | int) -> Column:
     return F.pmod(F.xxhash64(key), n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
-def numbered(df: DataFrame, group: list[str], order: list[Column], out: str, rows_per_bucket: int = 20_000, total: int | None = None) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, however large a group is.
+def numbered(df: DataFrame, group: list[str], order: list[Column], out: str, buckets: int) -> DataFrame:
+    """Number the rows of each group (columns without nulls) from 0 without gaps, however large a group is.
 
-    A group is dealt into hash buckets of its ``order`` columns; buckets are counted, running sums of the counts (a small
-    table) give each bucket its first number, and a window numbers rows within a bucket only. The order is therefore that of
-    (bucket, ``order``): fixed by the rows, not by their partitions. Rows that tie in all of ``order`` may swap numbers.
+    A group is dealt into ``buckets`` by a hash of ``order``; a window numbers rows within a (group, bucket) only, and running
+    sums of the bucket counts, in two levels of up to 1024 buckets each part, give every bucket its first number. The order is
+    that of (bucket, ``order``): fixed by the rows, not by their partitions. Rows that tie in all of ``order`` may swap numbers.
     """
-    total = df.count() if total is None else total
-    n = max(1, -(-total // rows_per_bucket))
-    b = F.pmod(F.xxhash64(*order), F.lit(n)).cast("int")
-    rows = df.withColumn("_b", b)
-    counts = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_fb"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_first"))
+    rows = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(max(1, buckets))).cast("int"))
+    counts = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", F.expr("_b div 1024"))
+    before = lambda by, n, *of: F.coalesce(F.sum(n).over(Window.partitionBy(*of).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.groupBy(*group, "_part").agg(F.sum("_n").alias("_n"))
+    parts = parts.withColumn("_base", before("_part", "_n", *group)).drop("_n")
+    first = counts.withColumn("_in", before("_b", "_n", *group, "_part")).join(parts, [*group, "_part"]).select(*group, "_b", (F.col("_base") + F.col("_in")).alias("_first"))
     inner = Window.partitionBy(*group, "_b").orderBy(*order)
     rows = rows.withColumn("_r", F.row_number().over(inner) - F.lit(1))
-    on = F.col("_b") == F.col("_fb")
-    for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    if n * 64 <= 1_000_000:  # the counts have at most groups x n rows; groups are few by contract of the callers
-        first = F.broadcast(first)
-    return rows.join(first, on).withColumn(out, (F.col("_first") + F.col("_r")).cast("long")).drop("_b", "_fb", "_first", "_r", *[f"_g{i}" for i in range(len(group))])
+    return rows.join(first, [*group, "_b"]).withColumn(out, (F.col("_first") + F.col("_r")).cast("long")).drop("_b", "_first", "_r")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

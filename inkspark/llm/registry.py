@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from inkspark.llm import decontaminate, language_id, lm_score, minhash_dedup
+from inkspark.llm import decontaminate, language_id, lm_score, minhash_dedup, mixing, sharding
 
 QUERIES = {
     "op2_language_id": language_id.query,
     "op3_lm_score": lm_score.query,
+    "op4_mixing": mixing.query,
     "op5_minhash_dedup": minhash_dedup.query,
+    "op6_sharding": sharding.query,
     "op10_decontaminate": decontaminate.query,
 }
 ORACLES: dict[str, str] = {
