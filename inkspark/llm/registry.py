@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from inkspark.llm import decontaminate, language_id, lm_score, minhash_dedup, mixing, sharding
+from inkspark.llm import decontaminate, embedding_dedup, language_id, lm_score, minhash_dedup, mixing, secret_scan, sharding, url_filter, warc
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.query,
     "op2_language_id": language_id.query,
     "op3_lm_score": lm_score.query,
     "op4_mixing": mixing.query,
     "op5_minhash_dedup": minhash_dedup.query,
     "op6_sharding": sharding.query,
+    "op7_url_filter": url_filter.query,
+    "op8_warc": warc.query,
+    "op9_secret_scan": secret_scan.query,
     "op10_decontaminate": decontaminate.query,
 }
+#: the others learn from the data, iterate or write archives; tests/llm hold them against brute force
 ORACLES: dict[str, str] = {
+    "op7_url_filter": url_filter.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
