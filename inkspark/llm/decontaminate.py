@@ -3,7 +3,7 @@
 Test items are cut into windows of ``n`` consecutive words (an item of fewer words is one window). The training texts' terms
 are counted; a window is anchored at its rarest term, and neighbouring windows of an item with the same anchor share one row with
 the words they cover. Postings (term, document, position) of the anchors - and of a second, next rarest term common to
-the row's windows - are written as the index. Lists are intersected from the rarest term: its positions give offset-adjusted
+the row's windows, if its list isn't much longer - are written as the index. Lists are intersected from the rarest term: its positions give offset-adjusted
 starts, the second term must stand where they say (give or take ``slop``); what is left is compared with the document's whole
 words. Exact matches are windows found word for word; proximity matches are windows that aren't, but of whose distinct words
 at least ``near`` stand within the window's place widened by ``slop`` words.
@@ -25,6 +25,8 @@ from inkspark.llm.common import table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
+#: a second list is intersected only if at most so many times as long as the first; beyond, looking at the documents costs less
+LONGER = 4
 
 
 def words_of(text: str | Column) -> Column:
@@ -64,12 +66,12 @@ def anchors(docs: DataFrame, cut: DataFrame) -> DataFrame:
     each = cut.select("item", "at", F.size("words").alias("n"), F.posexplode("words").alias("o", "term")).join(counts, "term")
     place = F.col("at") + F.col("o")
     rarest = each.groupBy("item", "at", "n").agg(F.min(F.struct("cf", "term", place.alias("place"))).alias("r"))
-    runs = rarest.groupBy("item", "n", F.col("r.place").alias("place"), F.col("r.term").alias("term")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    runs = rarest.groupBy("item", "n", F.col("r.place").alias("place"), F.col("r.term").alias("term"), F.col("r.cf").alias("rarity")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     # of each run: the terms that all its windows share, but for the anchor
     shared = each.select("item", place.alias("p"), F.col("term").alias("t"), "cf").distinct()
     second = (
         runs.join(shared, "item")
-        .where((F.col("p") >= F.col("hi")) & (F.col("p") < F.col("lo") + F.col("n")) & (F.col("p") != F.col("place")))
+        .where((F.col("p") >= F.col("hi")) & (F.col("p") < F.col("lo") + F.col("n")) & (F.col("p") != F.col("place")) & (F.col("cf") <= LONGER * F.col("rarity")))
         .groupBy("item", "lo", "place")
         .agg(F.min(F.struct("cf", "t", "p")).alias("s"))
     )
