@@ -72,7 +72,7 @@ def decoded(raw: bytes) -> tuple[str, str]:
 
 def replacement_rules(spark: SparkSession, path: str) -> DataFrame:
     """A rule file: path, line number, src, dst, valid; ``src->dst``, comments and blank lines dropped, ``#->#`` rules kept."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(lines(F.col("value"))).alias("n", "line"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(lines(F.col("value"))).alias("n", "line"))
     rows = text.where((F.trim("line") != "") & (~F.trim("line").startswith("#") | F.trim("line").startswith("#->#")))
     at = F.instr("line", "->")
     src = F.when(at > 0, F.trim(F.substr("line", F.lit(1), at - 1)))
