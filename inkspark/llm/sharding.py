@@ -25,9 +25,8 @@ CELLS = 1 << 16
 
 
 def ring(spark, shards: int, replicas: int) -> DataFrame:
-    """(cell, arc): every cell's arc; (arc, owner) follows as arcs are numbered in the ring's order. Written as SQL over ranges."""
-    nodes = spark.range(shards * replicas).select((F.col("id") % shards).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(CELLS)).cast("int").alias("cell"), "id")
-    return nodes
+    """(shard, cell, id): the virtual nodes; those of a shard are the same for any number of shards."""
+    return spark.range(shards * replicas).select(F.expr(f"id div {replicas}").cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(CELLS)).cast("int").alias("cell"), "id")
 
 
 def plan(counts: list[int], owner: list[int], shards: int) -> list[tuple[int, int, int, int, int]]:
