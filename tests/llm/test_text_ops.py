@@ -265,7 +265,7 @@ def test_secret_network_finds_what_rules_miss(spark):
     hidden = [f"here is {key(24)} for you" for _ in range(20)]
     d = spark.createDataFrame(list(enumerate(rows + hidden)), "doc_id long, text string")
     scan = secret_scan.scanned(d)
-    net = secret_scan.train(scan)
+    net = secret_scan.train(secret_scan.scanned(d.where("doc_id < 300")))
     got = {x.doc_id: x.n_cnn for x in secret_scan.found(scan, net).collect()}
     assert sum(got[i] for i in range(300, 320)) >= 14
     assert sum(got[i] for i in range(150, 300)) <= 8
