@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkspark.functions import confidence as C
 from inkspark.functions import text as X
-from inkspark.operators import chunks, duplicates, glossary, limits, quality, rewrite, state
+from inkspark.operators import chunks, context, duplicates, glossary, limits, quality, rewrite, state
 from inkspark.sources import sinks
 from inkspark.sources import tables as S
 
@@ -345,3 +345,42 @@ def duplicate_drift(spark, d):
 def active_time(spark, d):
     rows = S.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return state.active_seconds(rows, "user_id", "ts", "event_type", ("click",))
+
+
+@query(f"""WITH {TERMS}, m AS (SELECT doc_id, src, text, string_split(lower(text), src)[1:256] AS parts FROM documents JOIN terms ON contains(lower(text), src)),
+o AS (SELECT doc_id, src, text, (list_sum([length(z) for z in parts[1:k]]) + (k - 1) * length(src))::BIGINT AS pos FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM m)),
+x AS (SELECT src, doc_id, pos, substr(text, greatest(pos - 80, 0) + 1, pos - greatest(pos - 80, 0) + length(src) + 80) AS excerpt FROM o),
+f AS (SELECT src, excerpt, min((doc_id, pos)) AS place FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY place) AS n FROM f)
+SELECT src, n::INTEGER AS n, place[1] AS doc_id, place[2]::BIGINT AS "at", excerpt FROM r WHERE n <= 3""")
+def reference_contexts(spark, d):
+    return context.excerpts(_docs(spark, d), _terms(spark, d))
+
+
+@query()
+def oversized_pieces(spark, d):
+    """Lines cut to 200 characters at sentence ends."""
+    return context.pieces(_segments(spark, d), 200).select("doc_id", "seg_idx", "part", F.char_length("piece").alias("chars"))
+
+
+@query(f"""WITH RECURSIVE {SEG}, c AS (SELECT doc_id, seg_idx, CASE WHEN length(line) = 0 THEN 1 ELSE greatest(1, floor(length(line) / 3.5)) END::BIGINT AS cost FROM seg),
+f AS (SELECT doc_id, seg_idx, cost AS used, 1 AS n, 0::BIGINT AS batch FROM c WHERE seg_idx = 0
+ UNION ALL SELECT c.doc_id, c.seg_idx, CASE WHEN f.n >= 5 OR f.used + c.cost > 1200 THEN c.cost ELSE f.used + c.cost END, CASE WHEN f.n >= 5 OR f.used + c.cost > 1200 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 5 OR f.used + c.cost > 1200 THEN f.batch + 1 ELSE f.batch END
+ FROM f JOIN c ON c.doc_id = f.doc_id AND c.seg_idx = f.seg_idx + 1)
+SELECT doc_id, batch, count(*) AS lines FROM f GROUP BY 1, 2""")
+def retry_micro_batches(spark, d):
+    cost = F.greatest(F.lit(1), X.token_estimate(F.col("line")))
+    return chunks.by_budget(_segments(spark, d), cost, 1_200, most=5).groupBy("doc_id", F.col("chunk").alias("batch")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("SELECT segment_id, string_agg(DISTINCT o_orderkey::VARCHAR, ',' ORDER BY o_orderkey::VARCHAR) AS subtasks FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey AS segment_id FROM lineitem) GROUP BY segment_id")
+def segment_owner_index(spark, d):
+    rows = S.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("segments"))
+    index = context.segment_owners(rows.select(F.col("l_orderkey").cast("string").alias("subtask_id"), F.col("l_orderkey").cast("string").alias("ord"), "segments"))
+    return index.select("segment_id", F.array_join("subtasks", ",").alias("subtasks"))
+
+
+@query("""WITH a AS (SELECT c_custkey, c_nationkey FROM customer), n AS (SELECT lower(trim(n_name)) AS key, n_regionkey FROM nation)
+SELECT lower(trim(p_name)) AS key, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS targets, count(*) AS entries FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1""")
+def glossary_conflicts(spark, d):
+    rows = S.table(spark, d, "part").select(F.col("p_name").alias("src"), F.col("p_brand").alias("dst"))
+    return glossary.conflicts(rows).select("key", F.array_join("targets", ",").alias("targets"), "entries")

@@ -17,7 +17,7 @@ def sql(text: str, sf: str = SF):
 
 def rows(df) -> list[tuple]:
     def one(x):
-        if x is None or x != x or str(x) in ("<NA>", "NaT"):
+        if x is None or str(x) in ("<NA>", "NaT", "nan"):
             return "NULL"
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from inkspark.operators import chunks, duplicates, glossary, limits, quality, rewrite, state
+from inkspark.operators import chunks, context, duplicates, glossary, limits, quality, rewrite, state
 from inkspark.sources import sinks
 from inkspark.sources import tables as S
 
@@ -134,3 +134,36 @@ def test_streams(spark, tmp_path):
     u.processAllAvailable()
     u.stop()
     assert sorted((r.requests, r.tokens) for r in spark.sql("select * from used").collect()) == [(2, 20), (3, 30)]
+
+
+def test_books(spark, tmp_path):
+    import zipfile
+
+    from inkspark.sources.epub import epub_segments
+
+    with zipfile.ZipFile(tmp_path / "b.epub", "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:x"><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>')
+        z.writestr("O/p.opf", '<package xmlns="urn:y"><manifest><item id="a" href="a%20b.xhtml"/><item id="n" href="t.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine><itemref idref="a"/></spine></package>')
+        z.writestr("O/a b.xhtml", "<html><head><title>no</title></head><body><h1>One</h1><div>two &amp; <b>three</b><p>four<br>five</p></div><ruby>漢<rt>かん</rt></ruby></body></html>")
+        z.writestr("O/t.ncx", "<ncx><text> Label </text></ncx>")
+    (tmp_path / "bad.epub").write_bytes(b"nothing")
+    rows = epub_segments(spark, str(tmp_path)).collect()
+    assert [(r.row, r.text) for r in sorted((r for r in rows if r.error is None), key=lambda r: r.row)] == [(0, "One"), (1, "two & three"), (2, "four five"), (3, "漢"), (9_000_000_000, "Label")]
+    assert sum(r.error is not None for r in rows) == 1
+
+
+def test_context_helpers(spark):
+    docs = spark.createDataFrame([(1, "aa Cat bb cat cc"), (2, "cat"), (3, "the cat"), (4, "the cat")], "doc_id long, text string")
+    terms = spark.createDataFrame([("cat", False)], "src string, case_sensitive boolean")
+    got = [(r.n, r.doc_id, r.at, r.excerpt) for r in context.excerpts(docs, terms, around=3).orderBy("n").collect()]
+    assert got == [(1, 1, 3, "aa Cat bb"), (2, 1, 10, "bb cat cc"), (3, 2, 0, "cat")]
+    cut = context.pieces(lines(spark, "One. Two. Three four five six.", "short"), 10).orderBy("seg_idx", "part").collect()
+    assert [r.piece for r in cut] == ["One.Two.", "Three four", "five six.", "short"]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(context.runaway(F.lit("ok " + "ab" * 80))) == "ab" and one(context.runaway(F.lit("plain text"))) == ""
+    assert one(context.is_request_failure(F.lit("[llm.auth] x"))) and not one(context.is_request_failure(F.lit("too short")))
+    assert tuple(one(context.error_parts(F.lit("[a.b] went wrong")))) == ("a.b", "went wrong")
+    assert tuple(one(context.usage(F.lit('{"prompt_tokens": 7, "completion_tokens": 3, "prompt_tokens_details": {"cached_tokens": 2}}')))) == (7, 3, 2, False)
+    assert tuple(one(context.usage(F.lit('{"prompt_cache_hit_tokens": 4, "prompt_cache_miss_tokens": 5, "output_tokens": 1, "estimated": true}')))) == (9, 1, 4, True)
+    tasks = spark.createDataFrame([("t1", 1, "failed", ["a", "b"]), ("t2", 2, "completed", ["a", "c"])], "subtask_id string, ord int, status string, segments array<string>")
+    assert {r.segment_id: r.subtask_id for r in context.owners(tasks, spark.createDataFrame([("a",), ("c",)], "segment_id string")).collect()} == {"a": "t1", "c": "t2"}
