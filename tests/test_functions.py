@@ -54,3 +54,12 @@ def test_verdicts(spark):
     assert "function_word_residue" in tags(spark, "그는 말했다", "他 said that with 她", source="ko", target="zh")
     assert "target_language_weak" in tags(spark, "안녕하세요 여러분 반갑습니다", "hello everyone nice to meet you", source="ko", target="zh")
     assert tags(spark, "ISBN 9791101874782", "ISBN: 979-11-01-87478-2", source="ko", target="zh") == []
+
+
+def test_residue_and_titles(spark):
+    assert tags(spark, "안녕 ㅋㅋㅋ", "你好 ㅋㅋㅋ", source="ko", target="zh") == []
+    assert "source_residue" in tags(spark, "안녕", "你好 ㄱㄴㄷ", source="ko", target="zh")
+    assert tags(spark, "カー・ロ", "卡ー・ロ"[:3], source="ja", target="zh") == []
+    assert "source_residue" in tags(spark, "The quick brown foxes jumped over", "他说 the quick brown foxes jumped 了", source="de", target="zh")
+    assert "source_residue" in tags(spark, "Привет, как твои дела сегодня", "Привет как твои дела", source="ru", target="zh")
+    assert tags(spark, "제품 ABC 200 EX", "产品 ABC 200 EX", source="ko", target="zh") == []

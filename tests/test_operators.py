@@ -167,3 +167,23 @@ def test_context_helpers(spark):
     assert tuple(one(context.usage(F.lit('{"prompt_cache_hit_tokens": 4, "prompt_cache_miss_tokens": 5, "output_tokens": 1, "estimated": true}')))) == (9, 1, 4, True)
     tasks = spark.createDataFrame([("t1", 1, "failed", ["a", "b"]), ("t2", 2, "completed", ["a", "c"])], "subtask_id string, ord int, status string, segments array<string>")
     assert {r.segment_id: r.subtask_id for r in context.owners(tasks, spark.createDataFrame([("a",), ("c",)], "segment_id string")).collect()} == {"a": "t1", "c": "t2"}
+
+
+def test_recovery(spark):
+    from inkspark.operators import recovery as R
+
+    rows = spark.createDataFrame([("s", "a", 1, 0), ("s", "b", 2, 0), ("s", "c", 2, 5)], "id string, text string, x int, y int")
+    assert R.best(rows, ["id"], [F.col("x"), F.col("y")]).first().text == "c"
+    asked = spark.createDataFrame([("t", 0), ("t", 1), ("u", 0), ("u", 1), ("v", 0), ("v", 1)], "subtask_id string, index int")
+    answered = spark.createDataFrame([("t", 0, "a"), ("t", 1, "b"), ("u", 7, "c"), ("u", 8, "d"), ("v", 1, "e")], "subtask_id string, index int, text string")
+    got = {(r.subtask_id, r["index"]): (r.text, r.policy) for r in R.aligned(asked, answered).collect()}
+    assert got == {("t", 0): ("a", "complete"), ("t", 1): ("b", "complete"), ("u", 0): ("c", "positional"), ("u", 1): ("d", "positional"), ("v", 0): (None, "subset"), ("v", 1): ("e", "subset")}
+    pairs = spark.createDataFrame([("He went home", "It was cold outside", "他回家了他回家了他回家了他回家了", "他回家了他回家了他回家了他回家了"), ("same", "same", "same text here and now", "same text here and now")], "left_src string, right_src string, left_dst string, right_dst string")
+    assert R.duplicate_pairs(pairs).count() == 1
+    flags = spark.createDataFrame([("ㅋㅋㅋ",), ("!?!? wow",), ("A normal sentence.",), ("",)], "t string").select(R.is_compact_nonprose(F.col("t"))).collect()
+    assert [r[0] for r in flags] == [True, True, False, False]
+    text = spark.range(1).select(R.prompt(F.array(F.struct(F.lit("a").alias("src"), F.lit("b").alias("dst"), F.lit("n").alias("info"))), F.array(F.lit("x\ny "), F.lit("")), F.array(F.lit('say "hi"')))).first()[0]
+    assert text == '[Glossary]\n- a -> b (n)\n\n[Context - read only, do not translate or include in output]\nx y\n\n[Translate]\n```jsonline\n{"0":"say \\"hi\\""}\n```'
+    files = spark.createDataFrame([("f1", b"x", 1), ("f2", b"x", 2), ("f3", b"y", 3)], "name string, content binary, ord int")
+    assert {r.name: r.kept_as for r in R.first_of_content(files).collect()} == {"f1": "f1", "f2": "f1", "f3": "f3"}
+    assert R.located(lines(spark, "see Chapter One", "chapter one"), "Chapter One").first().seg_idx == 1
