@@ -8,7 +8,7 @@ starts, the second term must stand where they say (give or take ``slop``); what
 words. Exact matches are windows found word for word; proximity matches are windows that aren't, but of whose distinct words
 at least ``near`` stand within the window's place widened by ``slop`` words.
 
-Scale: only postings of anchor terms are shuffled or stored, texts never are, but for documents with a candidate. Test rows are
+Scale: only postings of anchor terms and the texts of documents with a candidate are shuffled. Test rows and candidates' keys are
 broadcast only while they are at most ``BROADCAST_ROWS``, else joined by shuffles that adaptive execution splits when skewed.
 Nothing is gathered but one document's own candidates.
 
@@ -26,7 +26,7 @@ from inkspark.llm.common import table, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
 #: a second list is intersected only if at most so many times as long as the first; beyond, looking at the documents costs less
-LONGER = 4
+LONGER = 64
 
 
 def words_of(text: str | Column) -> Column:
@@ -105,7 +105,7 @@ def matches(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str =
     runs = _small(tested.select("item", "lo", "hi", "place", "n", "segment"), some)
     by_doc = both.select("k", "item", "lo", "place", "shift").distinct().join(runs, ["item", "lo", "place"]).groupBy("k").agg(F.collect_list(F.struct("item", "lo", "hi", "n", "shift", "segment")).alias("c"))
     by_doc = written(by_doc, "candidates")
-    texts = rows.join(by_doc.select("k"), "k", "left_semi").dropDuplicates(["k"]).select("k", words_of("text").alias("w"))
+    texts = rows.join(_small(by_doc.select("k"), by_doc.count()), "k", "left_semi").dropDuplicates(["k"]).select("k", words_of("text").alias("w"))
     # a window at s of the item starts at s + shift in the document
     exact = "s + x.shift >= 0 and slice(w, greatest(s + x.shift, 0) + 1, x.n) = slice(x.segment, s - x.lo + 1, x.n)"
     around = f"slice(w, greatest(s + x.shift - {slop}, 0) + 1, x.n + {2 * slop})"
