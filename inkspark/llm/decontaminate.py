@@ -100,8 +100,10 @@ def matches(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str =
     terms = tested.select("term").union(tested.select(F.col("term2").alias("term"))).distinct()
     index = written(postings(rows, terms, 2 * some), "postings")
     first = index.join(_small(tested.drop("segment"), some), "term").select("k", "item", "lo", "place", (F.col("pos") - F.col("place")).alias("shift"), "term2", "place2")
-    other = index.select(F.col("k").alias("k2"), F.col("term").alias("t2"), F.col("pos").alias("pos2"))
-    both = first.join(other, (F.col("k") == F.col("k2")) & (F.col("term2") == F.col("t2")) & (F.abs(F.col("pos2") - F.col("place2") - F.col("shift")) <= slop))
+    # every place within the slop is asked for by its own key, so that a word repeated through a document meets only itself there
+    asked = first.where("place2 <> place").withColumn("pos", F.explode(F.sequence(F.col("place2") + F.col("shift") - slop, F.col("place2") + F.col("shift") + slop)))
+    met = asked.join(index.select("k", F.col("term").alias("term2"), "pos"), ["k", "term2", "pos"], "left_semi")
+    both = met.drop("pos").unionByName(first.where("place2 = place"))
     runs = _small(tested.select("item", "lo", "hi", "place", "n", "segment"), some)
     by_doc = both.select("k", "item", "lo", "place", "shift").distinct().join(runs, ["item", "lo", "place"]).groupBy("k").agg(F.collect_list(F.struct("item", "lo", "hi", "n", "shift", "segment")).alias("c"))
     by_doc = written(by_doc, "candidates")
