@@ -12,8 +12,8 @@ from inkspark.operators import glossary
 def excerpts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", examples: int = 3, around: int = 80) -> DataFrame:
     """(src, n, key, at, excerpt): each term's first ``examples`` different excerpts, by document and place; occurrences of a term don't overlap.
 
-    Which document holds which term comes from the automaton; only those pairs are cut. A document gives a term at most ``examples``
-    rows, and documents are thinned in 64 salted groups before the term's own, so a common term is no single task.
+    Which document holds which term comes from the automaton; only those pairs are cut. Equal excerpts are collapsed to
+    their first place; what differs is then thinned in 64 groups by the excerpt's hash before the term's own, so a common term is no single task.
     """
     held = glossary.matched(docs.select(key, F.col(text).alias("line")), terms, (key,)).select(key, "src").join(docs.select(key, F.col(text).alias("_t")), key)
     parts = F.slice(F.split(F.lower("_t"), F.concat(F.lit(r"\Q"), F.lower("src"), F.lit(r"\E"))), 1, 256)
@@ -22,11 +22,9 @@ def excerpts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str =
     rows = held.where(F.size(parts) > 1).select(key, "src", "_t", F.explode(places).alias("at"))
     start = F.greatest(F.col("at") - around, F.lit(0))
     rows = rows.select(key, "src", F.col("at").cast("long").alias("at"), F.substr("_t", start + 1, F.col("at") - start + n + around).alias("excerpt"))
-    first = rows.groupBy("src", key, "excerpt").agg(F.min("at").alias("at"))
-    for group in ([key], [F.pmod(F.xxhash64(key), F.lit(64))]):
-        w = Window.partitionBy("src", *group).orderBy(key, "at")
-        first = first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= examples)
-    once = first.groupBy("src", "excerpt").agg(F.min(F.struct(key, "at")).alias("x")).select("src", "excerpt", f"x.{key}", "x.at")
+    once = rows.groupBy("src", "excerpt").agg(F.min(F.struct(key, "at")).alias("x")).select("src", "excerpt", f"x.{key}", "x.at")
+    w = Window.partitionBy("src", F.pmod(F.xxhash64("excerpt"), F.lit(64))).orderBy(key, "at")
+    once = once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= examples)
     w = Window.partitionBy("src").orderBy(key, "at")
     return once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= examples).select("src", "n", key, "at", "excerpt")
 

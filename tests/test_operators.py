@@ -169,6 +169,13 @@ def test_context_helpers(spark):
     assert {r.segment_id: r.subtask_id for r in context.owners(tasks, spark.createDataFrame([("a",), ("c",)], "segment_id string")).collect()} == {"a": "t1", "c": "t2"}
 
 
+def test_contexts_beside_a_large_group_of_copies(spark):
+    docs = spark.createDataFrame([(i, "the cat") for i in range(2_000)] + [(2_000, "a cat"), (2_001, "my cat"), (2_002, "our cat")], "doc_id long, text string")
+    terms = spark.createDataFrame([("cat", False)], "src string, case_sensitive boolean")
+    got = [(r.n, r.doc_id, r.at, r.excerpt) for r in context.excerpts(docs, terms).orderBy("n").collect()]
+    assert got == [(1, 0, 4, "the cat"), (2, 2_000, 2, "a cat"), (3, 2_001, 3, "my cat")]
+
+
 def test_recovery(spark):
     from inkspark.operators import recovery as R
 
