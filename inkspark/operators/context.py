@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkspark.functions import text as X
 from inkspark.operators import glossary
@@ -12,16 +16,32 @@ from inkspark.operators import glossary
 def excerpts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", examples: int = 3, around: int = 80) -> DataFrame:
     """(src, n, key, at, excerpt): each term's first ``examples`` different excerpts, by document and place; occurrences of a term don't overlap.
 
-    Which document holds which term comes from the automaton; only those pairs are cut. Equal excerpts are collapsed to
+    Which document holds which term comes from the automaton; only those pairs are cut. A text is searched once from left to right, up
+    to its own first ``examples`` different excerpts: a later one can't be among the term's first. Equal excerpts of different texts are collapsed to
     their first place; what differs is then thinned in 64 groups by the excerpt's hash before the term's own, so a common term is no single task.
     """
     held = glossary.matched(docs.select(key, F.col(text).alias("line")), terms, (key,)).select(key, "src").join(docs.select(key, F.col(text).alias("_t")), key)
-    parts = F.slice(F.split(F.lower("_t"), F.concat(F.lit(r"\Q"), F.lower("src"), F.lit(r"\E"))), 1, 256)
-    n = F.char_length("src")
-    places = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, p: s + F.char_length(p)) + (i - 1) * n)
-    rows = held.where(F.size(parts) > 1).select(key, "src", "_t", F.explode(places).alias("at"))
-    start = F.greatest(F.col("at") - around, F.lit(0))
-    rows = rows.select(key, "src", F.col("at").cast("long").alias("at"), F.substr("_t", start + 1, F.col("at") - start + n + around).alias("excerpt"))
+    asked = held.select(key, "src", F.lower("src").alias("_low_src"), F.lower("_t").alias("_low"), "_t")
+    schema = T.StructType([*asked.schema.fields[:2], T.StructField("at", T.LongType()), T.StructField("excerpt", T.StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ats, cuts = [], [], []
+            for i, (src, low_src, low, whole) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                seen: set[str] = set()
+                at = low.find(low_src)
+                while at >= 0 and len(seen) < examples:
+                    excerpt = whole[max(at - around, 0) : at + len(src) + around]
+                    if excerpt not in seen:
+                        seen.add(excerpt)
+                        rows.append(i)
+                        ats.append(at)
+                        cuts.append(excerpt)
+                    at = low.find(low_src, at + len(low_src))
+            part = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ats, pa.int64()), pa.array(cuts, pa.string())], [*part.schema.names, "at", "excerpt"])
+
+    rows = asked.mapInArrow(cut, schema)
     once = rows.groupBy("src", "excerpt").agg(F.min(F.struct(key, "at")).alias("x")).select("src", "excerpt", f"x.{key}", "x.at")
     w = Window.partitionBy("src", F.pmod(F.xxhash64("excerpt"), F.lit(64))).orderBy(key, "at")
     once = once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= examples)

@@ -176,6 +176,14 @@ def test_contexts_beside_a_large_group_of_copies(spark):
     assert got == [(1, 0, 4, "the cat"), (2, 2_000, 2, "a cat"), (3, 2_001, 3, "my cat")]
 
 
+def test_contexts_after_many_equal_ones(spark):
+    line = "x" * 10 + "cat" + "x" * 10
+    docs = spark.createDataFrame([(1, line * 3_000 + "a Cat."), (2, "my cat")], "doc_id long, text string")
+    terms = spark.createDataFrame([("cat", False)], "src string, case_sensitive boolean")
+    got = [(r.n, r.doc_id, r.at, r.excerpt) for r in context.excerpts(docs, terms, around=5).orderBy("n").collect()]
+    assert got == [(1, 1, 10, "xxxxxcatxxxxx"), (2, 1, 69_002, "xxxa Cat."), (3, 2, 3, "my cat")]
+
+
 def test_recovery(spark):
     from inkspark.operators import recovery as R
 
