@@ -12,8 +12,8 @@ Scale: only postings of anchor terms and the texts of documents with a candidate
 broadcast only while they are at most ``BROADCAST_ROWS``, else joined by shuffles that adaptive execution splits when skewed.
 Nothing is gathered but one document's own candidates.
 
-Edge cases: a null or empty text has no words and is clean; null items have no windows; repeated rows and repeated ids are
-judged each by their own text; other columns are ignored; ties in rarity go to the first term in alphabetical order.
+Edge cases: a null or empty text has no words and is clean; items without text have no windows; repeated rows and repeated ids,
+of texts and of items, are judged each by their own text; an item without id counts in n_hit but isn't among the items; other columns are ignored; ties in rarity go to the first term in alphabetical order.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def windows(tests: DataFrame, item: str, text: str, n: int) -> DataFrame:
-    """(item, at, words): every window of every item with its first word's place."""
-    words = tests.select(F.col(item).alias("item"), words_of(text).alias("w")).where(F.size("w") > 0)
+    """(item, at, words): every window of every item with its first word's place; item tells texts apart by id and text."""
+    words = tests.select(F.struct(F.col(item).alias("id"), F.xxhash64(text).alias("h")).alias("item"), words_of(text).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
     return words.select("item", "w", F.explode(starts).alias("at")).select("item", "at", F.slice("w", F.col("at") + 1, n).alias("words"))
 
@@ -113,7 +113,7 @@ def matches(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str =
     around = f"slice(w, greatest(s + x.shift - {slop}, 0) + 1, x.n + {2 * slop})"
     window = "slice(x.segment, s - x.lo + 1, x.n)"
     judged = F.expr(
-        f"flatten(transform(c, x -> transform(sequence(x.lo, x.hi), s -> named_struct('item', x.item, 'start', s + x.shift, 'n', x.n, 'exact', {exact}, "
+        f"flatten(transform(c, x -> transform(sequence(x.lo, x.hi), s -> named_struct('item', x.item.id, 'start', s + x.shift, 'n', x.n, 'exact', {exact}, "
         f"'near', size(array_intersect({window}, {around})) >= {near} * size(array_distinct({window}))))))"
     )
     found = by_doc.join(texts, "k").select("k", F.filter(judged, lambda x: x["exact"] | x["near"]).alias("found"))
@@ -126,10 +126,10 @@ def digest(docs: DataFrame, tests: DataFrame, **how) -> DataFrame:
     flat = found.select(
         "k",
         F.size(F.array_distinct(F.expr("flatten(transform(filter(found, x -> x.exact), x -> sequence(x.start, x.start + x.n - 1)))"))).cast("long").alias("n_hit"),
-        F.sort_array(F.array_distinct(F.expr("transform(filter(found, x -> x.exact), x -> string(x.item))"))).alias("items"),
+        F.array_distinct(F.expr("transform(filter(found, x -> x.exact), x -> string(x.item))")).alias("whole"),
         F.array_distinct(F.expr("transform(filter(found, x -> not x.exact), x -> string(x.item))")).alias("close"),
     )
-    return flat.select("k", "n_hit", "items", F.size(F.array_except("close", "items")).cast("long").alias("n_near"))
+    return flat.select("k", "n_hit", F.sort_array(F.array_compact("whole")).alias("items"), F.size(F.array_except("close", "whole")).cast("long").alias("n_near"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -225,6 +225,15 @@ def test_decontamination_on_odd_rows(spark):
     assert decontaminate.clean(d, tests.limit(0)).count() == len(ODD)
 
 
+def test_decontamination_by_items_that_share_an_id_or_have_none(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(14)) for c in "abc")
+    d = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y"), (3, f"x {three} y"), (4, "x y")], "doc_id long, text string")
+    tests = spark.createDataFrame([("i", one), ("i", two), (None, three)], "item_id string, text string")
+    got = {r.k.id: (r.n_hit, list(r["items"]), r.n_near) for r in decontaminate.digest(d, tests).collect()}
+    assert got == {1: (14, ["i"], 0), 2: (14, ["i"], 0), 3: (14, [], 0)}
+    assert [r.doc_id for r in decontaminate.clean(d, tests).collect()] == [4]
+
+
 def test_proximity_matches(spark):
     d = spark.createDataFrame([(1, "one two three four five six extra seven eight nine ten"), (2, "one two and nothing else of the rest of it here")], "doc_id long, text string")
     t = spark.createDataFrame([(9, "one two three four five six seven eight nine ten")], "item_id long, text string")
