@@ -47,6 +47,18 @@ def bucket_of(key: Column, n: Column | int) -> Column:
     return F.pmod(F.xxhash64(key), n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
+def hot_join(rows: DataFrame, keys: DataFrame, on: str, weight: str, hot: int = 10_000) -> DataFrame:
+    """Inner join of written ``rows`` with written ``keys``, which hold each key once and in ``weight`` its number of rows.
+
+    Keys with at least 1/hot of all rows - ``hot`` of them at most, whatever the data - are broadcast, so none of them is one task's work;
+    the others are shuffled.
+    """
+    total = keys.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    heavy = F.broadcast(keys.where(F.col(weight) * hot >= total))
+    light = keys.where(F.col(weight) * hot < total)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(on), on, "left_anti").join(light, on))
+
+
 def numbered(df: DataFrame, group: list[str], order: list[Column], out: str, buckets: int) -> DataFrame:
     """Number the rows of each group (columns without nulls) from 0 without gaps, however large a group is.
 

@@ -4,15 +4,21 @@ A text's k-mers are its runs of five words, labelled with their occurrence. Each
 ``sample`` smallest labelled k-mers and keeps them in text order; their hash is a bucket, so texts meet if some sketch agrees in
 content and order - likely when their edit similarity is high. Candidates are verified by a banded alignment of their whole
 word sequences: 1 - edits / words of the longer >= ``similarity`` (0.8). Linked texts form classes by connected components.
+80 sketches of 2 k-mers find a pair at the limit itself, edits scattered, with a probability of 0.95; README has the measured curve.
 
 Equal texts are collapsed first (a partial aggregate of digests), so copies cost nothing later. In a bucket every text is first
-aligned with the bucket's smallest id: G - 1 alignments for a group of G, not G**2. Whatever pairs of a bucket are still in
-different classes are then compared too. Buckets of up to ``CROWD`` texts: all pairs, by an exact upper bound from word histograms,
-then by alignment. Larger ones, where many texts share a passage: pairs that a prefix filter over their five-word shingles finds,
-which is exact for Jaccard similarities from ``similarity``, then by alignment. No pair is left out for a group's size alone.
+aligned with the bucket's smallest id: G - 1 alignments for a group of G, not G**2. Texts of buckets in which that leaves different
+classes - texts that share a passage or line, say - are then compared by a prefix filter that is exact for the edit similarity
+asked for: such texts share ``similarity`` of the longer's words, so one of the rarest 1 - ``similarity`` of each one's (labelled)
+words. What a crowd has in common is frequent and so not among them, while its members' own words are. The rule is
+the same for every bucket, whatever its size, and no pair is left out for it.
+
+Candidates pass a signature of 128 bytes before their texts are moved: one-permutation minima of the labelled words, of which
+similar texts share 2/3 in expectation; pairs more than 4.5 standard deviations below go (a loss of 1 in 300,000).
 
 Edge cases: a null text is in a class of its own, never a copy; texts without a word are copies only of equal texts; texts of
-under five words have one k-mer; rows that repeat an id share its class; other columns are ignored by ``classes``.
+under five words have one k-mer, and a few words changed in a text of few leave no common k-mer; rows that repeat an id share its
+class; other columns are ignored by ``classes``.
 """
 
 from __future__ import annotations
@@ -25,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspark.llm.common import components, table, written
+from inkspark.llm.common import components, hot_join, table, written
 from inkspark.llm.textvec import WORD, U, mix, pieces, words
 
-K, BINS, CROWD = 5, 256, 64
+K, PLACES = 5, 128
 BROADCAST_ROWS = 200_000  # ids of 8 bytes, or two of them
 _C = mix(np.arange(1, K + 1, dtype=np.uint64) * U(0x51ED270B8A4F7C35)) | U(1)
 
 
-def kmers(h: np.ndarray, at: np.ndarray, occurrences: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def kmers(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(occurrence-labelled k-mers, offsets): runs of K words of each row, all words where there are fewer."""
     n = np.diff(at)
     size = np.where(n >= K, n - K + 1, np.minimum(n, 1))
@@ -45,30 +51,22 @@ def kmers(h: np.ndarray, at: np.ndarray, occurrences: bool = True) -> tuple[np.n
     for j in range(K):
         w = padded[start + j] * _C[j]
         x += np.where(start + j < at[1:][row], w, U(j + 1))
-    x = mix(x)
-    if not occurrences:
-        return x, off
-    by = np.lexsort((x, row))
-    new = np.ones(len(x), bool)
-    new[1:] = (x[by][1:] != x[by][:-1]) | (row[by][1:] != row[by][:-1])
-    run = np.flatnonzero(new)
-    occurrence = np.zeros(len(x), np.uint64)
-    occurrence[by] = (np.arange(len(x)) - np.repeat(run, np.diff(np.append(run, len(x))))).astype(np.uint64)
-    return mix(x + occurrence * U(0xC2B2AE3D27D4EB4F)), off
+    return labelled(mix(x), row), off
 
 
 def sketch(x: np.ndarray, sketches: int, sample: int) -> np.ndarray:
     """Order MinHash of one text's labelled k-mers: a hash for each sketch."""
     seed = mix(np.arange(1, sketches + 1, dtype=np.uint64))
-    places = None
+    places = np.zeros((sketches, 0), np.int64)
     for lo in range(0, len(x), 32_768):
-        part = x[lo : lo + 32_768]
-        here = np.tile(np.arange(lo, lo + len(part)), (sketches, 1))
-        places = here if places is None else np.concatenate([places, here], 1)
-        if places.shape[1] > sample:
-            rank = (x[places] ^ seed[:, None]) * (mix(seed)[:, None] | U(1))
-            best = np.argpartition(rank, sample - 1, 1)[:, :sample]
-            places = np.take_along_axis(places, best, 1)
+        here = np.arange(lo, min(lo + 32_768, len(x)))
+        rank = np.concatenate([_rank(x[places], seed), _rank(x[here][None], seed)], 1)
+        best = []
+        for _ in range(min(sample, rank.shape[1])):
+            best.append(rank.argmin(1))
+            rank[np.arange(sketches), best[-1]] = U(0xFFFFFFFFFFFFFFFF)
+        old, best = places, np.stack(best, 1)
+        places = np.where(best < old.shape[1], np.take_along_axis(old, np.minimum(best, old.shape[1] - 1), 1) if old.shape[1] else 0, best - old.shape[1] + lo)
     picked = x[np.sort(places, 1)]
     out = seed.copy()
     for j in range(picked.shape[1]):
@@ -76,6 +74,21 @@ def sketch(x: np.ndarray, sketches: int, sample: int) -> np.ndarray:
     return out
 
 
+def _rank(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    return (x ^ seed[:, None]) * (mix(seed)[:, None] | U(1))
+
+
+def labelled(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hashes told apart by their occurrence in their row."""
+    by = np.lexsort((h, row))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[by][1:] != h[by][:-1]) | (row[by][1:] != row[by][:-1])
+    run = np.flatnonzero(new)
+    occurrence = np.zeros(len(h), np.uint64)
+    occurrence[by] = (np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))).astype(np.uint64)
+    return mix(h + occurrence * U(0xC2B2AE3D27D4EB4F))
+
+
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two sequences if at most ``most``, by an alignment in a band of diagonals that is widened as needed."""
     if abs(len(a) - len(b)) > most:
@@ -112,32 +125,45 @@ def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 
 def _diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """The same, a diagonal at a time: for long texts, whose table would be large."""
+    """The same for long texts, whose table would be large: all diagonals at once slide by powers of two over hashes of runs, in memory of the texts' size."""
     n, m = len(a), len(b)
-    stops: dict[int, np.ndarray] = {}
-
-    def slide(i: int, d: int) -> int:
-        """From (i, i+d) along the diagonal to the next mismatch."""
-        if d not in stops:
-            lo = max(0, -d)
-            length = min(n, m - d) - lo
-            stops[d] = np.append(np.flatnonzero(a[lo : lo + length] != b[lo + d : lo + d + length]) + lo, lo + length)
-        s = stops[d]
-        return int(s[np.searchsorted(s, i)]) if i <= s[-1] else i
-
-    far = {0: slide(0, 0)}
-    goal = m - n
+    # with e edits in all, a path leaves the corners' diagonals by half of those that don't bridge them
+    spare = (most - abs(n - m)) // 2
+    lo, hi = min(0, m - n) - spare, max(0, m - n) + spare
+    d = np.arange(lo, hi + 1)
+    end = np.minimum(n, m - d)
+    steps = int(min(n, m)).bit_length()
+    runs = [[a, b]]
+    for s in range(1, steps):
+        half = 1 << (s - 1)
+        if len(runs[-1][0]) <= half or len(runs[-1][1]) <= half:
+            break
+        runs.append([mix(x[:-half] * U(0x9FB21C651E98DF25) + x[half:]) for x in runs[-1]])
+
+    def slide(i: np.ndarray, on: np.ndarray) -> np.ndarray:
+        i = i.copy()
+        for s in range(len(runs) - 1, -1, -1):
+            x, y = runs[s]
+            step = 1 << s
+            # the longest step is repeated; of the others one is enough
+            while True:
+                ok = on & (i + step <= end)
+                at = np.flatnonzero(ok)
+                at = at[x[i[at]] == y[i[at] + d[at]]]
+                i[at] += step
+                if s < len(runs) - 1 or not len(at):
+                    break
+        return i
+
+    far = np.full(len(d) + 2, -2, np.int64)
+    zero, goal = -lo + 1, m - n - lo + 1
+    far[zero] = slide(np.zeros(len(d), np.int64), d == 0)[zero - 1]
     for e in range(most + 1):
-        if far.get(goal, -1) >= n:
+        if far[goal] >= n:
             return e
-        nxt = {}
-        for d in range(-e - 1, e + 2):
-            if not -n <= d <= m:
-                continue
-            i = min(max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1), n, m - d)
-            if i >= max(0, -d):
-                nxt[d] = slide(i, d)
-        far = nxt
+        i = np.minimum(np.maximum(np.maximum(far[1:-1] + 1, far[:-2]), far[2:] + 1), end)
+        on = (i >= 0) & (i + d >= 0) & (np.abs(d) <= e + 1)
+        far[1:-1] = np.where(on, slide(np.where(on, i, 0), on), -2)
     return None
 
 
@@ -213,18 +239,44 @@ def sketched(texts: DataFrame, sketches: int, sample: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, bucket long")
 
 
-def histograms(texts: DataFrame) -> DataFrame:
-    """(id, bins): counts of word hashes by ``BINS`` bins, 4 bytes each; an upper bound of two texts' common words follows from them."""
+def signed(texts: DataFrame) -> DataFrame:
+    """(id, n, sign): the number of words, and of the labelled words' smallest in each of ``PLACES`` parts of the hashes one byte, 0 where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 h, at = words(piece.column(1), WORD)
                 row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                bins = np.bincount(row * BINS + (h % U(BINS)).astype(np.int64), minlength=(len(at) - 1) * BINS).astype(np.int32).reshape(-1, BINS)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([x.tobytes() for x in bins], pa.binary())], ["id", "bins"])
+                x = labelled(h, row)
+                low = np.full((len(at) - 1) * PLACES, 0xFFFFFFFFFFFFFFFF, np.uint64)
+                np.minimum.at(low, row * PLACES + (x % U(PLACES)).astype(np.int64), x)
+                byte = np.where(low == U(0xFFFFFFFFFFFFFFFF), U(0), (low >> U(20)) % U(255) + U(1)).astype(np.uint8).reshape(-1, PLACES)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(at).astype(np.int32)), pa.array([x.tobytes() for x in byte], pa.binary())], ["id", "n", "sign"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, bins binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, n int, sign binary")
+
+
+def likely(pairs: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) pairs that their lengths and signatures leave open.
+
+    Texts that share ``similarity`` of the longer's words agree in a place with probability similarity / (2 - similarity) at least.
+    """
+    share = similarity / (2 - similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (c.to_numpy() for c in batch.columns[2:4])
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, PLACES) for c in batch.columns[4:])
+                some = ((x > 0) | (y > 0)).sum(1)
+                agree = ((x == y) & (x > 0)).sum(1)
+                ok = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (agree >= share * some - 4.5 * np.sqrt(share * (1 - share) * some))
+                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(signs.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sign").alias(f"sign_{side}")), side)
+    return both.select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -245,94 +297,68 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _small_buckets(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a bucket of up to ``CROWD`` texts, of different roots, that the histogram bound leaves open; members: (bucket, id, root, bins)."""
-
-    def run(pdf):
-        import pandas as pd
-
-        ids, roots, bins = pdf["id"].to_numpy(), pdf["root"].to_numpy(), np.stack([np.frombuffer(x, np.int32) for x in pdf["bins"]])
-        n = bins.sum(1)
-        out = []
-        for i in range(len(ids)):
-            longer = np.maximum(n[i], n)
-            open_ = np.flatnonzero((roots != roots[i]) & (ids > ids[i]) & (np.minimum(n[i], n) >= similarity * longer - 1e-9))
-            open_ = open_[np.minimum(bins[i], bins[open_]).sum(1) >= similarity * longer[open_] - 1e-9]
-            out.append(np.stack([np.full(len(open_), ids[i]), ids[open_]], 1))
-        found = np.concatenate(out)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return members.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
-
-
-def shingles(texts: DataFrame) -> DataFrame:
-    """(id, root, size, k): the distinct k-mers of each text of (id, root, text), and how many they are."""
+def word_rows(texts: DataFrame) -> DataFrame:
+    """(id, root, n, k): the labelled words of each text of (id, root, text), and how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", 1 << 20):
-                x, at = kmers(*words(piece.column(2), WORD), occurrences=False)
-                sets = [np.unique(x[at[r] : at[r + 1]]) for r in range(piece.num_rows)]
-                n = np.array([len(s) for s in sets])
-                own = piece.select([0, 1]).take(pa.array(np.repeat(np.arange(len(n)), n)))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.repeat(n, n).astype(np.int64)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "root", "size", "k"])
+                h, at = words(piece.column(2), WORD)
+                n = np.diff(at)
+                row = np.repeat(np.arange(len(n)), n)
+                own = piece.select([0, 1]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n[row].astype(np.int32)), pa.array(labelled(h, row).view(np.int64))], ["id", "root", "n", "k"])
 
-    return texts.select("id", "root", "text").mapInArrow(run, "id long, root long, size long, k long")
+    return texts.select("id", "root", "text").mapInArrow(run, "id long, root long, n int, k long")
 
 
-def _crowded(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different roots that can have a Jaccard similarity of five-word shingles >= ``similarity``, by prefix filtering.
+def sharing(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different roots among which are all whose edit similarity is ``similarity`` or more, by prefix filtering. placed: (id, root).
 
-    Two such sets share one of their (1 - similarity) * size + 1 rarest shingles. What a crowd has in common is frequent and so not
-    among them, while its members' own words are: no pairs arise from a passage or line that many texts hold. placed: (id, root).
+    The order of words by rarity is the same for all texts. Frequent words' counts are broadcast, the rest joined.
     """
-    # crowds sit together in some buckets' tasks: dealt evenly first
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
-    rows = shingles(texts.join(placed, "id").repartition(parts))
-    rows = written(rows, "shingles")
+    rows = written(word_rows(texts.join(placed, "id").repartition(parts)), "words")  # crowds sit together in some buckets' tasks: dealt evenly
+    df = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "k"))
-    prefix = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("k"))).withColumn("r", rank).where(F.col("r") <= F.floor((1 - similarity) * F.col("size") + 1e-9) + 1)
-    prefix = written(prefix.select("id", "root", "size", "k"), "prefixes")
+    ranked = hot_join(rows, df, "k", "df").withColumn("r", rank)
+    prefix = ranked.where((F.col("r") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1) & (F.col("df") > 1))
+    prefix = written(prefix.select("id", "root", "n", "k"), "prefixes")
     shared = prefix.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
     left = prefix.join(shared, "k", "left_semi")
-    right = left.select("k", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-    sizes = (F.col("size_b") >= similarity * F.col("size") - 1e-9) & (F.col("size") >= similarity * F.col("size_b") - 1e-9)
+    right = left.select("k", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    sizes = (F.col("n_b") >= similarity * F.col("n") - 1e-9) & (F.col("n") >= similarity * F.col("n_b") - 1e-9)
     return left.join(right, "k").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b")) & sizes).select(F.col("id").alias("a"), "b").distinct()
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 40, sample: int = 3) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 80, sample: int = 2) -> DataFrame:
     """(id, class_id) for every distinct id with a text: class_id is the smallest id of the class."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     digest = F.struct(F.md5(F.col("text").cast("binary")), F.octet_length("text"))
     copies = written(rows.select("id", digest.alias("digest")), "digests")
-    first = copies.groupBy("digest").agg(F.min("id").alias("first"))
-    same = copies.join(first, "digest").select("id", F.col("first"))
-    one = first.select(F.col("first").alias("id")).distinct()
-    texts = written(rows.join(one, "id", "left_semi").dropDuplicates(["id", "text"]) if _repeats(copies) else rows.join(one, "id", "left_semi"), "texts")
-    buckets = sketched(texts, sketches, sample)
-    buckets = written(buckets, "buckets")
-    low = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = written(copies.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    same = written(hot_join(copies, first, "digest", "n").select("id", "first"), "same")
+    repeats = _repeats(copies)
+    texts = rows.join(first.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+    texts = written(texts.dropDuplicates(["id", "text"]) if repeats else texts, "texts")
+    buckets = written(sketched(texts, sketches, sample), "buckets")
+    low = buckets.groupBy("bucket").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = written(buckets.join(low, "bucket"), "met")
-    pairs = written(met.where("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    signs = written(signed(texts), "signs")
+    pairs = met.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = written(likely(pairs, signs, similarity), "pairs")
     links = written(verified(pairs, texts, similarity), "links")
+    # buckets of which two texts that were not compared with each other are in different classes
     roots = components(links)
-    placed = met.select("bucket", "id").join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
-    open_ = written(placed.join(mixed, "bucket"), "open")
-    few, many = open_.where(F.col("n") <= CROWD), open_.where(F.col("n") > CROWD)
-    more = []
-    if few.head(1):
-        bins = histograms(texts.join(few.select("id").distinct(), "id", "left_semi"))
-        more.append(_small_buckets(few.join(bins, "id").select("bucket", "id", "root", "bins"), similarity))
-    if many.head(1):
-        more.append(_crowded(many.groupBy("id").agg(F.min("root").alias("root")), texts, similarity))
-    for pairs in more:
-        links = links.unionByName(verified(written(pairs, "across"), texts, similarity))
-    if more:
-        links = written(links, "links")
+    placed = met.where("size > 2 and id != rep").select("bucket", "id").join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    open_ = written(placed.join(mixed, "bucket", "left_semi").select("id", "root").distinct(), "open")
+    if open_.head(1):
+        across = written(likely(sharing(open_, texts, similarity), signs, similarity), "across")
+        links = written(links.unionByName(verified(across, texts, similarity)), "links")
     # equal texts whose id repeats with another text join their classes
-    edges = links.unionByName(same.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))) if _repeats(copies) else links
+    edges = links.unionByName(same.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))) if repeats else links
     roots = components(edges)
     return same.join(roots.select(F.col("id").alias("first"), "root"), "first", "left").groupBy("id").agg(F.min(F.coalesce("root", "first")).alias("class_id"))
 
@@ -351,13 +377,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: one document of each class stays, the one with the smallest id; rows without id or text stay."""
-    found = classes(docs)
-    gone = found.where("id != class_id").select(F.col("id").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    if _repeats(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"))):
-        n = F.count(F.lit(1)).alias("_n")
-        many = docs.groupBy(F.col("doc_id").alias("_id")).agg(n).where("_n > 1 and _id is not null").select("_id")
-        again = kept.join(many, kept["doc_id"] == many["_id"], "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(many, kept["doc_id"] == many["_id"], "left_anti").unionByName(again)
-    return kept
+    """The pipeline's stage: one document of each class stays, the one with the smallest id; rows without id or text stay.
+
+    Where ids repeat, rows are told apart by their place: of a class its first row stays, and texts that merely share an id all do.
+    """
+    ids = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"))
+    if not _repeats(ids):
+        gone = classes(docs).where("id != class_id").select(F.col("id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = written(docs.select(F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
+    found = classes(rows.select("row", F.col("doc.text").alias("text")), key="row")
+    gone = found.where("id != class_id").select(F.col("id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select("doc.*")
