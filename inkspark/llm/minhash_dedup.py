@@ -7,11 +7,11 @@ word sequences: 1 - edits / words of the longer >= ``similarity`` (0.8). Linked
 80 sketches of 2 k-mers find a pair at the limit itself, edits scattered, with a probability of 0.95; README has the measured curve.
 
 Equal texts are collapsed first (a partial aggregate of digests), so copies cost nothing later. In a bucket every text is first
-aligned with the bucket's smallest id: G - 1 alignments for a group of G, not G**2. Texts of buckets in which that leaves different
-classes - texts that share a passage or line, say - are then compared by a prefix filter that is exact for the edit similarity
-asked for: such texts share ``similarity`` of the longer's words, so one of the rarest 1 - ``similarity`` of each one's (labelled)
-words. What a crowd has in common is frequent and so not among them, while its members' own words are. The rule is
-the same for every bucket, whatever its size, and no pair is left out for it.
+aligned with the bucket's smallest id: G - 1 alignments for a group of G, not G**2. In buckets in which that leaves different classes -
+of texts that share a passage or line, say - the texts are also aligned with a member of another class that a hash of
+bucket and id picks, so a new one in each of a text's buckets. Last, a prefix filter over the five-word shingles of all texts of
+such buckets finds what is left: exactly all pairs of a Jaccard similarity of ``similarity`` or more. What a crowd has in common is frequent and so not
+in a prefix, while its members' own words are, so a shared passage makes no pairs. The rules are the same for every bucket, whatever its size.
 
 Candidates pass a signature of 128 bytes before their texts are moved: one-permutation minima of the labelled words, of which
 similar texts share 2/3 in expectation; pairs more than 4.5 standard deviations below go (a loss of 1 in 300,000).
@@ -89,48 +89,96 @@ def labelled(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(h + occurrence * U(0xC2B2AE3D27D4EB4F))
 
 
-def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edit distance of two sequences if at most ``most``, by an alignment in a band of diagonals that is widened as needed."""
-    if abs(len(a) - len(b)) > most:
-        return None
-    band = min(most, max(12, abs(len(a) - len(b))))
-    while True:
-        e = _banded(a, b, band) if (len(a) + 1) * (2 * band + 1) <= 8_000_000 else _diagonals(a, b, band)
-        if e is not None or band == most:
-            return e
-        band = most if band * 8 > most else band * 4
+CELLS = 4_000_000
 
 
-def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Furthest-reaching points of all diagonals -most..most at once; next mismatches come from one table."""
-    n, m = len(a), len(b)
-    d = np.arange(-most, most + 1)
-    at = np.arange(n + 1)[:, None] + d[None]
-    inside = (at >= 0) & (at < m)
-    stop = np.ones(at.shape, bool)
-    stop[:n] = ~inside[:n] | (a[:, None] != b[np.clip(at[:n], 0, max(m - 1, 0))]) if m else True
-    rows = np.where(stop, np.arange(n + 1, dtype=np.int32)[:, None], np.int32(n))
-    nxt = np.minimum.accumulate(rows[::-1], 0)[::-1]
-    end, column = np.minimum(n, m - d), np.arange(len(d))
-    far = np.full(len(d) + 2, -2, np.int64)
-    far[most + 1] = nxt[0, most]
-    goal = m - n + most + 1
-    for e in range(most + 1):
-        if far[goal] >= n:
-            return e
-        i = np.minimum(np.maximum(np.maximum(far[1:-1] + 1, far[:-2]), far[2:] + 1), end)
-        ok = (i >= 0) & (i + d >= 0) & (np.abs(d) <= e + 1)
-        far[1:-1] = np.where(ok, nxt[np.clip(i, 0, n), column], -2)
-    return None
+def edits(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[int | None]:
+    """For each (a, b, most): their edit distance if at most ``most``, by an alignment in the band of diagonals that so many edits can reach.
+
+    Pairs are aligned side by side in tables of ``CELLS`` cells at most; what is larger goes alone, in memory of the texts' size.
+    """
+    out: list[int | None] = [None] * len(pairs)
+    cut = []
+    for p, (a, b, most) in enumerate(pairs):
+        short = min(len(a), len(b))
+        if max(len(a), len(b)) - short > most:
+            continue
+        # what both begin and end with is never edited
+        differ = np.flatnonzero(a[:short] != b[:short])
+        head = int(differ[0]) if len(differ) else short
+        a, b, short = a[head:], b[head:], short - head
+        differ = np.flatnonzero(a[::-1][:short] != b[::-1][:short])
+        tail = int(differ[0]) if len(differ) else short
+        a, b = a[: len(a) - tail], b[: len(b) - tail]
+        if not len(a) or not len(b):
+            out[p] = max(len(a), len(b))
+        else:
+            cut.append((len(a), len(_band(len(a), len(b), most)), p, a, b, most))
+    cut.sort(key=lambda x: x[:3])
+    group: list = []
+    for one in [*cut, None]:
+        if group and (one is None or (len(group) + 1) * (one[0] + 1) * max(one[1], *(g[1] for g in group)) > CELLS):
+            alone = (group[0][0] + 1) * group[0][1] > CELLS
+            found = [_diagonals(*group[0][3:])] if alone else _banded([g[3:] for g in group])
+            for g, e in zip(group, found, strict=True):
+                out[g[2]] = e
+            group = []
+        group.append(one)
+    return out
+
+
+def _band(n: int, m: int, most: int) -> np.ndarray:
+    """Diagonals that a path of at most ``most`` edits can touch: beyond those between the corners half of the edits left lead out, half back."""
+    spare = (most - abs(n - m)) // 2
+    return np.arange(min(0, m - n) - spare, max(0, m - n) + spare + 1)
+
+
+def _banded(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[int | None]:
+    """Furthest-reaching points of all diagonals of all pairs' bands at once; next mismatches come from one table."""
+    n, m, most = (np.array(x)[:, None] for x in zip(*((len(a), len(b), t) for a, b, t in pairs), strict=True))
+    spare = (most - np.abs(n - m)) // 2
+    first, last = np.minimum(0, m - n) - spare, np.maximum(0, m - n) + spare
+    rows, wide = int(n.max()) + 1, int((last - first).max()) + 1
+    d = first + np.arange(wide)
+    i = np.arange(rows, dtype=np.int32)
+    size = int(m.max())
+    a, b = np.zeros((len(pairs), rows), np.uint64), np.zeros((len(pairs), size), np.uint64)
+    for p, (x, y, _) in enumerate(pairs):
+        a[p, : len(x)], b[p, : len(y)] = x, y
+    at = i[None, :, None] + d[:, None, :]
+    stop = (at < 0) | (at >= m[:, :, None]) | (i[None, :, None] >= n[:, :, None])
+    np.clip(at, 0, size - 1, out=at)
+    at += (np.arange(len(pairs)) * size)[:, None, None]
+    stop |= b.ravel()[at] != a[:, :, None]
+    nxt = np.where(stop, i[None, :, None], np.int32(rows))
+    np.minimum.accumulate(nxt[:, ::-1], 1, out=nxt[:, ::-1])
+    nxt = nxt.ravel()
+    base = (np.arange(len(pairs)) * rows * wide)[:, None] + np.arange(wide)
+    end, low, mine, steps = np.minimum(n, m - d), np.maximum(0, -d), d <= last, np.abs(d)
+    far = np.full((len(pairs), wide + 2), -2, np.int64)
+    row = np.arange(len(pairs))
+    far[row, 1 - first[:, 0]] = nxt[base[row, -first[:, 0]]]
+    goal, n, most = 1 + (m - n - first)[:, 0], n[:, 0], most[:, 0]
+    out: list[int | None] = [None] * len(pairs)
+    open_ = np.ones(len(pairs), bool)
+    for e in range(int(most.max()) + 1):
+        for p in np.flatnonzero(open_ & (far[row, goal] >= n)):
+            out[p] = e
+            open_[p] = False
+        open_ &= most > e
+        if not open_.any():
+            break
+        k = np.minimum(np.maximum(np.maximum(far[:, 1:-1] + 1, far[:, :-2]), far[:, 2:] + 1), end)
+        ok = mine & (k >= low) & (steps <= e + 1)
+        far[:, 1:-1] = np.where(ok, nxt[base + np.maximum(k, 0) * wide], -2)
+    return out
 
 
 def _diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """The same for long texts, whose table would be large: all diagonals at once slide by powers of two over hashes of runs, in memory of the texts' size."""
     n, m = len(a), len(b)
-    # with e edits in all, a path leaves the corners' diagonals by half of those that don't bridge them
-    spare = (most - abs(n - m)) // 2
-    lo, hi = min(0, m - n) - spare, max(0, m - n) + spare
-    d = np.arange(lo, hi + 1)
+    d = _band(n, m, most)
+    lo = int(d[0])
     end = np.minimum(n, m - d)
     steps = int(min(n, m)).bit_length()
     runs = [[a, b]]
@@ -209,18 +257,29 @@ def anchored(a: np.ndarray, b: np.ndarray, k: int = 3) -> int:
     return int(np.maximum(np.diff(x) - 1, np.diff(y) - 1).sum())
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Bounds first: e edits leave max(n, m) - 1 - 2e common word pairs at least, and hashing pairs to bins only adds to those in common;
-    an alignment over common runs of words that has few enough edits decides too. What is left is aligned in bands."""
-    longer = max(len(a), len(b))
-    most = int((1 - similarity) * longer + 1e-9)
-    if not longer or abs(len(a) - len(b)) > most:
-        return False
-    bins = 1 << int(4 * longer).bit_length()
-    pairs = [np.bincount(((x[:-1] * U(0x9FB21C651E98DF25) + x[1:]) >> U(40) & U(bins - 1)).astype(np.int64), minlength=bins) for x in (a, b)]
-    if np.minimum(*pairs).sum() < longer - 1 - 2 * most:
-        return False
-    return anchored(a, b) <= most or edits(a, b, most) is not None
+def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.ndarray:
+    """Whether each pair of word sequences has the edit similarity asked for.
+
+    Bounds first: e edits leave max(n, m) - 1 - 2e common word pairs at least, and hashing pairs to bins only adds to those in common;
+    an alignment over common runs of words that has few enough edits decides too. What is left is aligned in bands.
+    """
+    ok = np.zeros(len(pairs), bool)
+    left = []
+    for p, (a, b) in enumerate(pairs):
+        longer = max(len(a), len(b))
+        most = int((1 - similarity) * longer + 1e-9)
+        if not longer or abs(len(a) - len(b)) > most:
+            continue
+        bins = 1 << int(4 * longer).bit_length()
+        counts = [np.bincount(((x[:-1] * U(0x9FB21C651E98DF25) + x[1:]) >> U(40) & U(bins - 1)).astype(np.int64), minlength=bins) for x in (a, b)]
+        if np.minimum(*counts).sum() < longer - 1 - 2 * most:
+            continue
+        ok[p] = anchored(a, b) <= most
+        if not ok[p]:
+            left.append((p, (a, b, most)))
+    for (p, _), e in zip(left, edits([x for _, x in left]), strict=True):
+        ok[p] = e is not None
+    return ok
 
 
 def sketched(texts: DataFrame, sketches: int, sample: int) -> DataFrame:
@@ -286,40 +345,43 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         for batch in batches:
             for piece in pieces(batch, "text_a", 2 << 20):
                 (ha, oa), (hb, ob) = words(piece.column(2), WORD), words(piece.column(3), WORD)
-                ok = [similar(ha[oa[r] : oa[r + 1]], hb[ob[r] : ob[r + 1]], similarity) for r in range(piece.num_rows)]
+                ok = similar([(ha[oa[r] : oa[r + 1]], hb[ob[r] : ob[r + 1]]) for r in range(piece.num_rows)], similarity)
                 yield piece.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     n = ids.count()
     if n <= BROADCAST_ROWS:  # else the joins below find them
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    # few bytes of pairs are much work: as many tasks as there are partitions, dealt by b, which unlike a is in few pairs
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").repartition(parts, "b")
+    both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def word_rows(texts: DataFrame) -> DataFrame:
-    """(id, root, n, k): the labelled words of each text of (id, root, text), and how many they are."""
+def shingles(texts: DataFrame) -> DataFrame:
+    """(id, root, n, k): the labelled k-mers of each text of (id, root, text), and how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", 1 << 20):
-                h, at = words(piece.column(2), WORD)
+                x, at = kmers(*words(piece.column(2), WORD))
                 n = np.diff(at)
                 row = np.repeat(np.arange(len(n)), n)
                 own = piece.select([0, 1]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n[row].astype(np.int32)), pa.array(labelled(h, row).view(np.int64))], ["id", "root", "n", "k"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n[row].astype(np.int32)), pa.array(x.view(np.int64))], ["id", "root", "n", "k"])
 
     return texts.select("id", "root", "text").mapInArrow(run, "id long, root long, n int, k long")
 
 
 def sharing(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different roots among which are all whose edit similarity is ``similarity`` or more, by prefix filtering. placed: (id, root).
+    """Pairs (a, b) of different roots among which are all of a Jaccard similarity of labelled shingles >= ``similarity``, by prefix filtering.
 
-    The order of words by rarity is the same for all texts. Frequent words' counts are broadcast, the rest joined.
+    Two such sets share one of their (1 - similarity) * n + 1 rarest shingles. placed: (id, root). Frequent shingles' counts are broadcast, the rest joined.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
-    rows = written(word_rows(texts.join(placed, "id").repartition(parts)), "words")  # crowds sit together in some buckets' tasks: dealt evenly
+    rows = written(shingles(texts.join(placed, "id").repartition(parts)), "shingles")  # crowds sit together in some buckets' tasks: dealt evenly
     df = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "k"))
     ranked = hot_join(rows, df, "k", "df").withColumn("r", rank)
@@ -332,6 +394,14 @@ def sharing(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return left.join(right, "k").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b")) & sizes).select(F.col("id").alias("a"), "b").distinct()
 
 
+def starred(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different roots: the smallest id of each bucket of (bucket, id, root, rep), and the next smallest by a hash, with all its members."""
+    drawn = open_.where("id != rep").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id", "root")).alias("top")).select("bucket", "top.id", "top.root")
+    lowest = open_.where("id = rep").select("bucket", "id", "root")
+    tops = written(drawn.unionByName(lowest), "tops").select("bucket", F.col("id").alias("top"), F.col("root").alias("top_root"))
+    return open_.join(tops, "bucket").where("root != top_root").select(F.col("top").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 80, sample: int = 2) -> DataFrame:
     """(id, class_id) for every distinct id with a text: class_id is the smallest id of the class."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
@@ -346,16 +416,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     low = buckets.groupBy("bucket").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = written(buckets.join(low, "bucket"), "met")
     signs = written(signed(texts), "signs")
-    pairs = met.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = written(likely(pairs, signs, similarity), "pairs")
+    # first each text with the smallest id that it meets most often; then what is in different classes still
+    pairs = met.where("id != rep").groupBy("id", "rep").agg(F.count(F.lit(1)).alias("times")).groupBy("id").agg(F.max(F.struct("times", (-F.col("rep")).alias("low"))).alias("m"))
+    pairs = written(likely(pairs.select((-F.col("m.low")).alias("a"), F.col("id").alias("b")), signs, similarity), "pairs")
     links = written(verified(pairs, texts, similarity), "links")
-    # buckets of which two texts that were not compared with each other are in different classes
-    roots = components(links)
-    placed = met.where("size > 2 and id != rep").select("bucket", "id").join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    placed = met.join(components(links), "id", "left").select("bucket", "id", "rep", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    open_ = written(placed.join(mixed, "bucket", "left_semi").select("id", "root").distinct(), "open")
+    open_ = written(placed.join(mixed, "bucket", "left_semi"), "open")
     if open_.head(1):
-        across = written(likely(sharing(open_, texts, similarity), signs, similarity), "across")
+        # a few partners of each text join most of what can be joined, so that few of the other pairs are left in different classes
+        for few in (4, None):
+            near = starred(open_)
+            if few:
+                near = near.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))).where(F.col("r") <= few).drop("r")
+            near = written(likely(near, signs, similarity), "near")
+            links = written(links.unionByName(verified(near, texts, similarity)), "links")
+            open_ = written(open_.drop("root").join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")), "open")
+        across = written(likely(sharing(open_.select("id", "root").distinct(), texts, similarity), signs, similarity), "across")
         links = written(links.unionByName(verified(across, texts, similarity)), "links")
     # equal texts whose id repeats with another text join their classes
     edges = links.unionByName(same.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))) if repeats else links
