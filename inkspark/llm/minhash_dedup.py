@@ -396,10 +396,11 @@ def sharing(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 def starred(open_: DataFrame) -> DataFrame:
     """Pairs (a, b) of different roots: the smallest id of each bucket of (bucket, id, root, rep), and the next smallest by a hash, with all its members."""
-    drawn = open_.where("id != rep").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id", "root")).alias("top")).select("bucket", "top.id", "top.root")
-    lowest = open_.where("id = rep").select("bucket", "id", "root")
-    tops = written(drawn.unionByName(lowest), "tops").select("bucket", F.col("id").alias("top"), F.col("root").alias("top_root"))
-    return open_.join(tops, "bucket").where("root != top_root").select(F.col("top").alias("a"), F.col("id").alias("b")).distinct()
+    lowest = F.min(F.when(F.col("id") == F.col("rep"), F.struct(F.lit(0).cast("long").alias("h"), "id", "root")))
+    drawn = F.min(F.when(F.col("id") != F.col("rep"), F.struct(F.xxhash64("bucket", "id").alias("h"), "id", "root")))
+    tops = written(open_.groupBy("bucket").agg(F.array(lowest, drawn).alias("tops")), "tops")
+    met = open_.join(tops, "bucket").select("id", F.expr("transform(filter(tops, t -> t.root <> root), t -> t.id)").alias("tops"))
+    return met.select(F.explode("tops").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 80, sample: int = 2) -> DataFrame:
