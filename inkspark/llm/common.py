@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a new temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a new temporary one only where that is unset and one machine does all."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="inkspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -5,6 +5,8 @@ least ``keep`` of its largest share in any language; its languages form a bitmas
 each slot of a table holds one bit per language, a lookup ANDs the slots of an n-gram and so returns all languages that contain
 it at once. A text's per-language popcounts are corrected for the filter's false positives, and the largest decides.
 
+A text whose letters give no n-gram has coverage 1, as nothing in it is foreign. Input columns named like an added one are left out.
+
 Size: n-grams rarer than ``min_share`` of their language are left out, so a language has at most 1/min_share n-grams of each
 length whatever the corpus; that bounds what is collected and broadcast.
 
@@ -14,7 +16,6 @@ gives ``und`` everywhere; ties go to the alphabetically first language; repeated
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,6 @@ from inkspark.llm.common import crc_mod
 from inkspark.llm.textvec import Counts, U, buffers, mix, pieces
 
 SIZES = (3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
 #: letters of ASCII in lower case and bytes of other characters as they are; all else is a space
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -113,15 +113,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", keep: float =
     )
     totals = counts.groupBy("lang", F.shiftright("gram", 40).alias("size")).agg(F.sum("n").alias("total"))
     share = counts.withColumn("size", F.shiftright("gram", 40)).join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= min_share)
-    by_gram = share.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("by"))
-    kept = by_gram.select("gram", F.expr(f"transform(filter(by, x -> x.share >= {keep} * top), x -> x.lang)").alias("langs")).toPandas()
-    languages = sorted({x for row in kept["langs"] for x in row})
-    bit = {x: j for j, x in enumerate(languages)}
-    masks = np.zeros((max(1, -(-len(languages) // 64)), len(kept)), np.uint64)
-    for i, row in enumerate(kept["langs"]):
-        for x in row:
-            masks[bit[x] // 64, i] |= U(1 << bit[x] % 64)
-    return Filters.build(languages, kept["gram"].to_numpy(np.int64).view(np.uint64), masks)
+    languages = sorted(r["lang"] for r in totals.select("lang").distinct().collect())  # one row a language
+    bit = F.element_at(F.create_map(*(F.lit(x) for pair in zip(languages, range(len(languages)), strict=True) for x in pair)), F.col("lang")) if languages else F.lit(0)
+    by_gram = share.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct(bit.alias("bit"), "share")).alias("by"))  # a language once
+    words = range(max(1, -(-len(languages) // 64)))
+    masks = [F.expr(f"aggregate(filter(by, x -> x.share >= {keep} * top and x.bit div 64 = {w}), 0L, (m, x) -> m | shiftleft(1L, x.bit % 64))").alias(f"m{w}") for w in words]
+    kept = by_gram.select("gram", *masks).toPandas()
+    return Filters.build(languages, kept["gram"].to_numpy(np.int64).view(np.uint64), np.stack([kept[f"m{w}"].to_numpy(np.int64).view(np.uint64) for w in words]))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +145,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(name, k[i : i + 100_000], c[i : i + 100_000])
 
 
-def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """Add lang_pred, score (the winner's share of all languages' corrected hits) and coverage (of the text's n-grams)."""
+def predict(docs: DataFrame, filters: Filters, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
+    """Add lang_pred, score (the winner's share of all languages' corrected hits) and coverage (of the text's n-grams) under ``names``."""
+    docs = docs.drop(*(x for x in names if x in docs.columns))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     at = docs.columns.index(text)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("coverage")).schema
+    schema = docs.select("*", *(F.lit(x).alias(name) for x, name in zip(("", 0.0, 0.0), names, strict=True))).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
@@ -159,8 +158,8 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
             for piece in pieces(batch, text):
                 column = piece.column(at)
                 n = len(column)
-                letters = np.array([x is not None and _LETTER.search(x) is not None for x in column.to_pylist()], bool)
-                pred, best, cover = np.full(n, "und", object), np.zeros(n), np.zeros(n)
+                letters = np.array([x is not None and any(map(str.isalpha, x)) for x in column.to_pylist()], bool)  # Unicode category L
+                pred, best, cover = np.full(n, "und", object), np.zeros(n), letters.astype(float)
                 if f.languages:
                     hits, total = f.hits(column)
                     win = hits.argmax(1)
@@ -168,8 +167,9 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
                     ok = letters & (top > 0)
                     pred[letters] = np.array(f.languages, object)[win[letters]]
                     best[ok] = top[ok] / hits.sum(1)[ok]
-                    cover[ok] = np.minimum(1, top[ok] / total[ok])
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(pred, pa.string()), pa.array(best), pa.array(cover)], names=[*piece.schema.names, "lang_pred", "score", "coverage"])
+                    some = letters & (total > 0)
+                    cover[some] = np.minimum(1, top[some] / total[some])
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(pred, pa.string()), pa.array(best), pa.array(cover)], names=[*piece.schema.names, *names])
 
     return docs.mapInArrow(score, schema)
 
@@ -181,7 +181,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, min_coverage: float = 0.2) -> DataFrame:
-    """The pipeline's stage: learn from the labelled texts, reject texts without letters or foreign to every learned language."""
+    """The pipeline's stage: learn from the labelled texts, reject texts without letters or foreign to every learned language; without labels, only the former."""
     columns = docs.columns
-    found = predict(docs.withColumnRenamed("score", "_score") if "score" in columns else docs, train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("coverage") >= min_coverage)).select(*columns)
+    names = tuple(f"_{x}_of_{len(columns)}" for x in ("lang", "score", "coverage"))
+    return predict(docs, train(docs), names=names).where(F.col(names[2]) >= min_coverage).select(*columns)

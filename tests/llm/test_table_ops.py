@@ -5,6 +5,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from inkspark.llm import embedding_dedup, mixing, registry, sharding, url_filter, warc
@@ -97,20 +98,52 @@ def test_schedule_deviates_by_less_than_a_block():
 
 
 def test_mixing_keeps_every_row(spark):
-    rows = [(i, "hot" if i < 300 else (None if i % 3 else "a"), i) for i in range(500)] + [(499, "a", 499)]
-    d = spark.createDataFrame(rows, "doc_id long, source string, slot long").withColumnRenamed("slot", "own")
-    got = mixing.mixed(d, weights={"hot": 1, "a": 2, "": 1}, period=40, block_rows=3).toPandas()
+    rows = [(i, "hot" if i < 300 else (None, "a", "")[i % 3], i, i) for i in range(500)] + [(499, "a", 499, 499)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, slot long, epoch long")
+    got = mixing.mixed(d, weights={"hot": 1, "a": 2, None: 1, "": 1}, period=40, block_rows=3).toPandas()
     assert sorted(got[got.epoch == 0].doc_id) == sorted(r[0] for r in rows)
-    assert got.position.nunique() == len(got) and {"own", "source"} <= set(got.columns)
+    assert got.position.nunique() == len(got) and list(got.columns) == ["doc_id", "source", *mixing.ADDED]
     order = got.sort_values("position")
-    first = order[order.slot < 40].drop_duplicates("slot").source.fillna("").value_counts()
-    assert first.to_dict() == {"a": 20, "hot": 10, "": 10}
+    name = order.source.where(order.source.notna(), "null")
+    first = name[order.slot < 40].groupby(order.slot).first().value_counts()
+    assert first.to_dict() == {"a": 16, "hot": 8, "": 8, "null": 8}
     end = order.slot.max() + 1
-    for s, share in (("hot", 0.25), ("a", 0.5), ("", 0.25)):
-        taken = order.drop_duplicates("slot").source.fillna("") == s
+    for s, share in (("hot", 0.2), ("a", 0.4), ("", 0.2), ("null", 0.2)):
+        taken = order.assign(name=name).drop_duplicates("slot").name == s
         assert (abs(np.cumsum(taken) - share * np.arange(1, end + 1)) < 1).all()
-    assert mixing.mixed(d.limit(0)).count() == 0
-    assert mixing.reweighted(d).columns == d.columns
+    assert mixing.mixed(d.limit(0)).count() == 0 and mixing.reweighted(d.limit(0)).columns == d.columns
+    again = mixing.reweighted(d)
+    assert again.columns == d.columns and {tuple(r) for r in again.collect()} == set(rows)
+    with pytest.raises(ValueError):
+        mixing.mixed(d, weights={"hot": 1})
+
+
+def test_mixing_query_equals_brute_force(spark):
+    """Every row at the place that the schedule gives its block, the sequence long enough for all, epochs in order."""
+    got = mixing.query(spark, SF).toPandas()
+    size = spark.read.parquet(f"{SF}/documents.parquet").groupBy("source").count().toPandas().set_index("source")["count"]
+    slots = mixing.slots_of({f"={s}": float(n) ** 0.9 for s, n in size.items()}, 1_000)
+    place = {(s[1:], k): slot for s, k, slot, _, _ in mixing.schedule(slots)}
+    want, end = {}, 0
+    for s, n in size.items():
+        b = (n - 1) // 4
+        end = max(end, b // slots[f"={s}"] * 1_000 + place[s, b % slots[f"={s}"]] + 1)
+    for s, n in size.items():
+        i = 0
+        while (slot := (b := i // 4) // slots[f"={s}"] * 1_000 + place[s, b % slots[f"={s}"]]) < end:
+            want[slot * 4 + i % 4] = (s, i // n, i, b, slot)
+            i += 1
+    assert {r.position: (r.source, r.epoch, r.source_row, r.block, r.slot) for r in got.itertuples()} == want
+    for _, rows in got.groupby("source"):
+        of = {r.source_row: r.doc_id for r in rows.itertuples()}
+        n = size[rows.source.iloc[0]]
+        assert len({of[i] for i in range(n)}) == n and all(of[i] == of[i % n] for i in of)
+
+
+def test_mixing_of_many_sources_plans_few(spark):
+    d = spark.range(6_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2_000, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 3_000)).alias("source"))
+    got = mixing.mixed(d, period=50)
+    assert got.where("epoch = 0").count() == 6_000 and got.select("position").distinct().count() == got.count()
 
 
 def test_sharding_balance_and_movement(spark):
