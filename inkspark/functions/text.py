@@ -94,12 +94,13 @@ def without_readings(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=[぀-ヿ㐀-鿿가-힯])[\(（][぀-ヿ가-힯]+[\)）]", "")
 
 
-BOUNDARY = r"""["'「」『』《》〈〉()（）\[\]【】,.;:!?，。、；：！？]"""
+# fixed values: marks that don't belong to a term
+BOUNDARY = "\"'「」『』《》〈〉()（）[]【】,.;:!?，。、；：！？…—–·"
 
 
 def bare_term(text: Column) -> Column:
     """A term without punctuation around it."""
-    return stripped(F.regexp_replace(collapsed(text), f"^{BOUNDARY}+|{BOUNDARY}+$", ""))
+    return F.when(text.rlike(_SPACE), stripped(F.btrim(collapsed(text), F.lit(BOUNDARY)))).otherwise(F.btrim(F.coalesce(text, F.lit("")), F.lit(BOUNDARY)))
 
 
 def is_noise_term(text: Column) -> Column:
@@ -107,6 +108,7 @@ def is_noise_term(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(r"[^\s\p{N}\p{P}\p{S}]")
 
 
+# fixed values: categories that reject a term
 REJECTED = ("过滤", "排除", "删除", "忽略", "不提取", "不收录", "filter", "exclude", "excluded", "omit", "skip", "delete", "remove", "reject")
 OTHER = ("其它", "其他", "other", "others")
 

@@ -14,30 +14,31 @@ from inkspark.operators import glossary
 
 
 def excerpts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", examples: int = 3, around: int = 80) -> DataFrame:
-    """(src, n, key, at, excerpt): each term's first ``examples`` different excerpts, by document and place; occurrences of a term don't overlap.
+    """(src, n, key, at, excerpt): each term's first ``examples`` different excerpts, by document and place; case counts, occurrences of a term don't overlap.
 
-    Which document holds which term comes from the automaton; only those pairs are cut. A text is searched once from left to right, up
-    to its own first ``examples`` different excerpts: a later one can't be among the term's first. Equal excerpts of different texts are collapsed to
-    their first place; what differs is then thinned in 64 groups by the excerpt's hash before the term's own, so a common term is no single task.
+    White space in an excerpt is collapsed before excerpts are compared. Which document holds which term comes from the automaton; only those pairs
+    are cut. A text is searched once from left to right, up to its own first ``examples`` different excerpts: a later one can't be among the
+    term's first. Equal excerpts of different texts are collapsed to their first place; what differs is then thinned in 64 groups by the
+    excerpt's hash before the term's own, so a common term is no single task.
     """
-    held = glossary.matched(docs.select(key, F.col(text).alias("line")), terms, (key,)).select(key, "src").join(docs.select(key, F.col(text).alias("_t")), key)
-    asked = held.select(key, "src", F.lower("src").alias("_low_src"), F.lower("_t").alias("_low"), "_t")
+    exact = terms.withColumn("case_sensitive", F.lit(True))
+    asked = glossary.matched(docs.select(key, F.col(text).alias("line")), exact, (key,)).select(key, "src").join(docs.select(key, F.col(text).alias("_t")), key).select(key, "src", "_t")
     schema = T.StructType([*asked.schema.fields[:2], T.StructField("at", T.LongType()), T.StructField("excerpt", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, ats, cuts = [], [], []
-            for i, (src, low_src, low, whole) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+            for i, (src, whole) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
                 seen: set[str] = set()
-                at = low.find(low_src)
+                at = whole.find(src)
                 while at >= 0 and len(seen) < examples:
-                    excerpt = whole[max(at - around, 0) : at + len(src) + around]
-                    if excerpt not in seen:
+                    excerpt = " ".join(whole[max(at - around, 0) : at + len(src) + around].split())
+                    if excerpt and excerpt not in seen:
                         seen.add(excerpt)
                         rows.append(i)
                         ats.append(at)
                         cuts.append(excerpt)
-                    at = low.find(low_src, at + len(low_src))
+                    at = whole.find(src, at + len(src))
             part = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ats, pa.int64()), pa.array(cuts, pa.string())], [*part.schema.names, "at", "excerpt"])
 
@@ -77,6 +78,7 @@ def runaway(text: Column, span: int = 120, window: int = 600, unit: int = 20) ->
     return found
 
 
+# fixed values: failure kinds by words of the message
 FAILURES = ("http 4", "http 5", "requesterror", "transporterror", "timeouterror", "connectionerror", "noapikeyerror", "api key", "all keys failed", "malformed response", "invalid json", "auth failure")
 
 

@@ -73,18 +73,23 @@ def _tokens(spark, d):
     return _docs(spark, d).select("doc_id", "lang", "source", F.explode(F.split("text", r"[ \n]+")).alias("raw")).where("raw <> ''")
 
 
+def _counted(spark, d, *by: str):
+    """Each different token once, so that what cleans it runs on few rows."""
+    return _tokens(spark, d).groupBy(*by, "raw").agg(F.count(F.lit(1)).alias("n"))
+
+
 TOKENS = r"tok AS (SELECT doc_id, lang, source, raw FROM (SELECT doc_id, lang, source, unnest(string_split_regex(text, '[ \n]+')) AS raw FROM documents) WHERE raw <> '')"
-BARE = """trim(regexp_replace(raw, '^["''「」『』《》〈〉()（）\\[\\]【】,.;:!?，。、；：！？]+|["''「」『』《》〈〉()（）\\[\\]【】,.;:!?，。、；：！？]+$', '', 'g'))"""
+BARE = """trim(regexp_replace(raw, '^["''「」『』《》〈〉()（）\\[\\]【】,.;:!?，。、；：！？…—–·]+|["''「」『』《》〈〉()（）\\[\\]【】,.;:!?，。、；：！？…—–·]+$', '', 'g'))"""
 
 
 @query(f"WITH {TOKENS} SELECT term, count(*) AS n FROM (SELECT {BARE} AS term FROM tok) WHERE term <> '' GROUP BY term")
 def clean_boundary_terms(spark, d):
-    return _tokens(spark, d).select(X.bare_term(F.col("raw")).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return _counted(spark, d).select(X.bare_term(F.col("raw")).alias("term"), "n").where("term <> ''").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 @query(rf"WITH {TOKENS} SELECT raw AS token, count(*) AS n FROM tok WHERE NOT regexp_matches(raw, '[^\s\p{{N}}\p{{P}}\p{{S}}]') GROUP BY raw")
 def rule_noise_filter(spark, d):
-    return _tokens(spark, d).where(X.is_noise_term(F.col("raw"))).groupBy(F.col("raw").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    return _counted(spark, d).where(X.is_noise_term(F.col("raw"))).select(F.col("raw").alias("token"), "n")
 
 
 @query(f"""WITH {TOKENS}, forms AS (SELECT lower({BARE}) AS key, {BARE} AS form, count(*) AS n FROM tok GROUP BY 1, 2)
@@ -92,7 +97,7 @@ SELECT key, form, votes FROM (SELECT key, form, sum(n) OVER (PARTITION BY key)::
 def vote_surface_form(spark, d):
     # forms are counted first, so the vote itself works on one row a form
     form = X.bare_term(F.col("raw"))
-    forms = _tokens(spark, d).select(F.lower(form).alias("key"), form.alias("form")).where("key <> ''").groupBy("key", "form").agg(F.count(F.lit(1)).alias("n"))
+    forms = _counted(spark, d).select(form.alias("form"), "n").where("form <> ''").groupBy(F.lower("form").alias("key"), "form").agg(F.sum("n").alias("n"))
     best = forms.groupBy("key").agg(F.max("n").alias("top"), F.sum("n").alias("votes"))
     return forms.join(best, "key").where(F.col("n") == F.col("top")).groupBy("key", "votes").agg(F.min("form").alias("form")).select("key", "form", "votes")
 
@@ -103,7 +108,8 @@ TERMS = rf"""{TOKENS}, terms AS (SELECT src, reverse(src) AS dst FROM (SELECT lo
 
 
 def _terms(spark, d):
-    words = _tokens(spark, d).select("doc_id", F.lower(X.bare_term(F.col("raw"))).alias("src")).distinct().groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    long_ = _tokens(spark, d).where(F.char_length("raw") >= 7).select("doc_id", "raw").distinct()
+    words = long_.select("doc_id", F.lower(X.bare_term(F.col("raw"))).alias("src")).distinct().groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     total = _docs(spark, d).count()
     return words.where((F.char_length("src") >= 7) & (F.col("n") >= 0.02 * total)).select("src", F.reverse("src").alias("dst"), F.lit(False).alias("case_sensitive"))
 
@@ -129,13 +135,13 @@ def missing_translation_anti(spark, d):
 
 @query(f"""WITH {TOKENS}, each AS (SELECT source, lower({BARE}) AS src, {BARE} AS form, count(*) AS n FROM tok GROUP BY 1, 2, 3),
 whole AS (SELECT src, sum(n)::BIGINT AS frequency FROM each WHERE length(src) >= 4 GROUP BY src HAVING sum(n) >= 20),
-refs AS (SELECT source, src, form, row_number() OVER (PARTITION BY source, src ORDER BY n DESC, form) - 1 AS turn FROM each),
-once AS (SELECT src, form, min((turn, source)) AS place FROM refs WHERE turn < 24 GROUP BY src, form),
-pick AS (SELECT src, form, row_number() OVER (PARTITION BY src ORDER BY place, form) AS r FROM once)
-SELECT src, frequency, (SELECT string_agg(form, '|' ORDER BY r) FROM pick WHERE pick.src = whole.src AND r <= 6) AS refs FROM whole""")
+refs AS (SELECT source, src, list(form ORDER BY n DESC, form) AS forms FROM each GROUP BY source, src),
+rounds AS (SELECT src, list(forms ORDER BY round, source NULLS FIRST) AS lists FROM refs, (SELECT unnest(range(6)) AS round) GROUP BY src),
+pick AS (SELECT src, list_reduce(list_prepend(CAST([] AS VARCHAR[]), lists), lambda acc, x: CASE WHEN len(acc) < 6 THEN acc || list_filter(x, lambda y: NOT list_contains(acc, y))[1:1] ELSE acc END) AS refs FROM rounds)
+SELECT src, frequency, array_to_string(refs, '|') AS refs FROM whole JOIN pick USING (src)""")
 def combine_terms_by_source(spark, d):
     form = X.bare_term(F.col("raw"))
-    each = _tokens(spark, d).select("source", F.lower(form).alias("src"), form.alias("form")).groupBy("source", "src", "form").agg(F.count(F.lit(1)).alias("n")).where(F.char_length("src") >= 4)
+    each = _counted(spark, d, "source").select("source", form.alias("form"), "n").groupBy("source", F.lower("form").alias("src"), "form").agg(F.sum("n").alias("n")).where(F.char_length("src") >= 4)
     records = each.groupBy(F.col("source").alias("file"), "src").agg(F.sum("n").alias("frequency"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "form"))).alias("x"))
     records = records.select("file", "src", F.lit("").alias("dst"), F.lit("").alias("info"), "frequency", F.transform("x", lambda r: r["form"]).alias("references"))
     return glossary.combined(records, 6).where("frequency >= 20").select("src", "frequency", F.array_join("references", "|").alias("refs"))
@@ -347,9 +353,10 @@ def active_time(spark, d):
     return state.active_seconds(rows, "user_id", "ts", "event_type", ("click",))
 
 
-@query(f"""WITH {TERMS}, m AS (SELECT doc_id, src, text, string_split(lower(text), src)[1:256] AS parts FROM documents JOIN terms ON contains(lower(text), src)),
-o AS (SELECT doc_id, src, text, (list_sum([length(z) for z in parts[1:k]]) + (k - 1) * length(src))::BIGINT AS pos FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM m)),
-x AS (SELECT src, doc_id, pos, substr(text, greatest(pos - 80, 0) + 1, pos - greatest(pos - 80, 0) + length(src) + 80) AS excerpt FROM o),
+@query(rf"""WITH {TERMS}, m AS (SELECT doc_id, src, text, string_split(text, src) AS parts FROM documents JOIN terms ON contains(text, src)),
+k AS (SELECT doc_id, src, text, unnest(parts) AS part, generate_subscripts(parts, 1) AS k, len(parts) AS n FROM m),
+o AS (SELECT doc_id, src, text, k, n, (sum(length(part)) OVER (PARTITION BY doc_id, src ORDER BY k) + (k - 1) * length(src))::BIGINT AS pos FROM k),
+x AS (SELECT src, doc_id, pos, trim(regexp_replace(substr(text, greatest(pos - 80, 0) + 1, pos - greatest(pos - 80, 0) + length(src) + 80), '\s+', ' ', 'g')) AS excerpt FROM o WHERE k < n),
 f AS (SELECT src, excerpt, min((doc_id, pos)) AS place FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY place) AS n FROM f)
 SELECT src, n::INTEGER AS n, place[1] AS doc_id, place[2]::BIGINT AS "at", excerpt FROM r WHERE n <= 3""")
 def reference_contexts(spark, d):
