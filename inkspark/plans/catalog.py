@@ -98,8 +98,7 @@ def vote_surface_form(spark, d):
     # forms are counted first, so the vote itself works on one row a form
     form = X.bare_term(F.col("raw"))
     forms = _counted(spark, d).select(form.alias("form"), "n").where("form <> ''").groupBy(F.lower("form").alias("key"), "form").agg(F.sum("n").alias("n"))
-    best = forms.groupBy("key").agg(F.max("n").alias("top"), F.sum("n").alias("votes"))
-    return forms.join(best, "key").where(F.col("n") == F.col("top")).groupBy("key", "votes").agg(F.min("form").alias("form")).select("key", "form", "votes")
+    return forms.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("less"), "form")).alias("top"), F.sum("n").alias("votes")).select("key", "top.form", "votes")
 
 
 #: a derived glossary: lower-cased words of 7 letters and more in at least 2 % of the documents, target the word spelled backwards
