@@ -117,8 +117,13 @@ def test_language_id_on_odd_rows(spark):
     assert language_id.predict(none(spark).drop("score"), language_id.train(none(spark))).count() == 0
 
 
-def test_lm_scores_agree_with_walking_the_automaton(spark, docs):
-    got = lm_score.query(spark, SF).toPandas().set_index("doc_id")
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scores_agree_with_walking_the_automaton(spark, docs, order):
+    if order == 2:
+        got = lm_score.query(spark, SF).toPandas().set_index("doc_id")
+    else:
+        d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("held_out", lm_score.crc_mod("doc_id", 5) == 1)
+        got = lm_score.score(d, *lm_score.train(d.where("not held_out"), order=order)).toPandas().set_index("doc_id")
     tokens = {d: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for d, t in zip(docs.doc_id, docs.text)}
     train = [d for d in tokens if zlib.crc32(str(d).encode()) % 5 != 1]
     grams = [Counter(tuple(tokens[d][i : i + k]) for d in train for i in range(len(tokens[d]) - k + 1)) for k in (1, 2, 3)]
@@ -142,7 +147,7 @@ def test_lm_scores_agree_with_walking_the_automaton(spark, docs):
 
     for d in list(tokens)[:60]:
         base = sum(math.log10(p((w,))) for w in tokens[d])
-        total = sum(math.log10(p(tuple(tokens[d][max(0, i - 2) : i + 1]))) for i in range(len(tokens[d])))
+        total = sum(math.log10(p(tuple(tokens[d][max(0, i - order + 1) : i + 1]))) for i in range(len(tokens[d])))
         r = got.loc[d]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens[d]), sum(uni[w,] > 0 for w in tokens[d]), n)
         assert abs(r.base_score - base) < 1e-6 * abs(base) and abs(r.score - total) < 1e-6 * abs(total)
