@@ -79,12 +79,13 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], out: str, buc
     return rows.join(first, [*group, "_b"]).withColumn(out, (F.col("_first") + F.col("_r")).cast("long")).drop("_b", "_first", "_r")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, passes: int | None = None) -> DataFrame:
     """Connected components of (a, b) long edges: rows (id, root) for every id on an edge, root its smallest reachable id.
 
     Alternates large-star and small-star passes, each a shuffle whose groups are never gathered: a node's smallest neighbour is
     a partial aggregate, and the star is rewired by a join. Each pass is written to the shared folder, and the rounds end when
-    a pass leaves the edges as they were.
+    a pass leaves the edges as they were. After ``passes`` of them, if given, it ends early: root is then some id of the same component,
+    the smallest one in components that have settled.
     """
     spark = edges.sparkSession
 
@@ -108,6 +109,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()
     e = written(e, "edges")
+    if passes is not None:
+        for _ in range(passes):
+            e = written(star(star(e, True), False), "stars")
+        return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))  # an id without a row is its own root
     seen = fingerprint(e)
     for _ in range(max_rounds):
         if not seen[0]:

@@ -421,7 +421,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     pairs = met.where("id != rep").groupBy("id", "rep").agg(F.count(F.lit(1)).alias("times")).groupBy("id").agg(F.max(F.struct("times", (-F.col("rep")).alias("low"))).alias("m"))
     pairs = written(likely(pairs.select((-F.col("m.low")).alias("a"), F.col("id").alias("b")), signs, similarity), "pairs")
     links = written(verified(pairs, texts, similarity), "links")
-    placed = met.join(components(links), "id", "left").select("bucket", "id", "rep", F.coalesce("root", "id").alias("root"))
+    placed = met.join(components(links, passes=1), "id", "left").select("bucket", "id", "rep", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     open_ = written(placed.join(mixed, "bucket", "left_semi"), "open")
     if open_.head(1):
@@ -432,7 +432,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
                 near = near.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))).where(F.col("r") <= few).drop("r")
             near = written(likely(near, signs, similarity), "near")
             links = written(links.unionByName(verified(near, texts, similarity)), "links")
-            open_ = written(open_.drop("root").join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")), "open")
+            open_ = written(open_.drop("root").join(components(links, passes=2), "id", "left").withColumn("root", F.coalesce("root", "id")), "open")
         across = written(likely(sharing(open_.select("id", "root").distinct(), texts, similarity), signs, similarity), "across")
         links = written(links.unionByName(verified(across, texts, similarity)), "links")
     # equal texts whose id repeats with another text join their classes
