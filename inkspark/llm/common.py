@@ -79,22 +79,15 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], out: str, buc
     return rows.join(first, [*group, "_b"]).withColumn(out, (F.col("_first") + F.col("_r")).cast("long")).drop("_b", "_first", "_r")
 
 
-def components(edges: DataFrame, max_rounds: int = 60, passes: int | None = None) -> DataFrame:
-    """Connected components of (a, b) long edges: rows (id, root) for every id on an edge, root its smallest reachable id.
+def contracted(edges: DataFrame, passes: int) -> DataFrame:
+    """The (a, b) long edges, a > b, after that many rounds of a large-star and a small-star pass: the same components, fewer steps to their smallest ids.
 
-    Alternates large-star and small-star passes, each a shuffle whose groups are never gathered: a node's smallest neighbour is
-    a partial aggregate, and the star is rewired by a join. Each pass is written to the shared folder, and the rounds end when
-    a pass leaves the edges as they were. After ``passes`` of them, if given, it ends early: root is then some id of the same component,
-    the smallest one in components that have settled.
+    Each pass is a shuffle whose groups are never gathered: a node's smallest neighbour is a partial aggregate, and the star is rewired by a join.
+    Each round is written to the shared folder.
     """
-    spark = edges.sparkSession
-
-    def fingerprint(df: DataFrame) -> tuple:
-        r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return tuple(r)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        """e: edges with a > b. large: link each neighbour above a node to the node's smallest; small: link those below, and the node."""
+        """large: link each neighbour above a node to the node's smallest; small: link those below, and the node."""
         if large:
             near = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
@@ -107,19 +100,27 @@ def components(edges: DataFrame, max_rounds: int = 60, passes: int | None = None
             out = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("n").alias("a"), F.col("m").alias("b")))
         return out.where(F.col("a") > F.col("b")).distinct()
 
-    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()
-    e = written(e, "edges")
-    if passes is not None:
-        for _ in range(passes):
-            e = written(star(star(e, True), False), "stars")
-        return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))  # an id without a row is its own root
-    seen = fingerprint(e)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    for _ in range(passes):
         e = written(star(star(e, True), False), "stars")
-        now = fingerprint(e)
-        if now == seen:
+    return e
+
+
+def roots_so_far(stars: DataFrame) -> DataFrame:
+    """(id, root) of contracted edges: root is some id of the same component, the smallest one where that has settled; ids without a row are their own."""
+    return stars.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Connected components of written (a, b) long edges: rows (id, root) for every id on an edge, root its smallest reachable id.
+
+    Rounds of ``contracted`` end when one leaves the edges as they were.
+    """
+    seen, e = None, edges
+    for _ in range(max_rounds):
+        e = contracted(e, 1)
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == seen or not now[0]:
             break
         seen = now
     else:

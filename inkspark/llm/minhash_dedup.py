@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspark.llm.common import components, hot_join, table, written
+from inkspark.llm.common import components, contracted, hot_join, roots_so_far, table, written
 from inkspark.llm.textvec import WORD, U, mix, pieces, words
 
 K, PLACES = 5, 128
@@ -421,7 +421,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     pairs = met.where("id != rep").groupBy("id", "rep").agg(F.count(F.lit(1)).alias("times")).groupBy("id").agg(F.max(F.struct("times", (-F.col("rep")).alias("low"))).alias("m"))
     pairs = written(likely(pairs.select((-F.col("m.low")).alias("a"), F.col("id").alias("b")), signs, similarity), "pairs")
     links = written(verified(pairs, texts, similarity), "links")
-    placed = met.join(components(links, passes=1), "id", "left").select("bucket", "id", "rep", F.coalesce("root", "id").alias("root"))
+    stars = contracted(links, 1)  # stands for the links so far: the same components
+    placed = met.join(roots_so_far(stars), "id", "left").select("bucket", "id", "rep", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     open_ = written(placed.join(mixed, "bucket", "left_semi"), "open")
     if open_.head(1):
@@ -431,12 +432,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
             if few:
                 near = near.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))).where(F.col("r") <= few).drop("r")
             near = written(likely(near, signs, similarity), "near")
-            links = written(links.unionByName(verified(near, texts, similarity)), "links")
-            open_ = written(open_.drop("root").join(components(links, passes=2), "id", "left").withColumn("root", F.coalesce("root", "id")), "open")
+            stars = contracted(stars.unionByName(written(verified(near, texts, similarity), "links")), 1)
+            open_ = written(open_.drop("root").join(roots_so_far(stars), "id", "left").withColumn("root", F.coalesce("root", "id")), "open")
         across = written(likely(sharing(open_.select("id", "root").distinct(), texts, similarity), signs, similarity), "across")
-        links = written(links.unionByName(verified(across, texts, similarity)), "links")
+        stars = stars.unionByName(written(verified(across, texts, similarity), "links"))
     # equal texts whose id repeats with another text join their classes
-    edges = links.unionByName(same.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))) if repeats else links
+    edges = stars.unionByName(same.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))) if repeats else stars
     roots = components(edges)
     return same.join(roots.select(F.col("id").alias("first"), "root"), "first", "left").groupBy("id").agg(F.min(F.coalesce("root", "first")).alias("class_id"))
 
