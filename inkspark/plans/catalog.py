@@ -390,3 +390,6 @@ SELECT lower(trim(p_name)) AS key, string_agg(DISTINCT p_brand, ',' ORDER BY p_b
 def glossary_conflicts(spark, d):
     rows = S.table(spark, d, "part").select(F.col("p_name").alias("src"), F.col("p_brand").alias("dst"))
     return glossary.conflicts(rows).select("key", F.array_join("targets", ",").alias("targets"), "entries")
+
+
+from inkspark.plans import rules  # noqa: E402,F401  registers its queries with those above
