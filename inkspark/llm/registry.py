@@ -16,8 +16,10 @@ QUERIES = {
     "op9_secret_scan": secret_scan.query,
     "op10_decontaminate": decontaminate.query,
 }
-#: the others learn from the data, iterate or write archives; tests/llm hold them against brute force
+#: the others learn from the data, align texts or deal rows; tests/llm hold them against brute force
 ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op8_warc": warc.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }

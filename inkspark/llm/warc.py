@@ -180,3 +180,11 @@ def fetched(bundles: DataFrame, ids: DataFrame | None = None, payloads: bool = T
 def query(spark, sf_dir: str) -> DataFrame:
     back = fetched(bundled(table(spark, sf_dir, "pages")), payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: base32 of the digest from its bits, five at a time
+ORACLE = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+q AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, unhex(sha1(body))::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY body) AS response FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+ + 16 * substr(bits, i + 1, 1)::INT + 8 * substr(bits, i + 2, 1)::INT + 4 * substr(bits, i + 3, 1)::INT + 2 * substr(bits, i + 4, 1)::INT + substr(bits, i + 5, 1)::INT, 1)), '') AS payload_digest,
+ CASE WHEN page_id IS DISTINCT FROM response THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to FROM q"""

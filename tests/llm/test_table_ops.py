@@ -236,3 +236,8 @@ def test_seek_table_is_readable_by_itself(spark):
     for r, x in zip(b.records, data, strict=True):
         o, n, m = frames[r["frame"]]
         assert zstandard.ZstdDecompressor().decompress(raw[o : o + n], max_output_size=m)[r["offset"] :][: r["length"]] == x
+
+
+@pytest.mark.parametrize("name", ["op1_embedding_dedup", "op8_warc"])
+def test_query_same_as_sql(spark, name):
+    same(spark, registry.QUERIES[name], registry.ORACLES[name])
