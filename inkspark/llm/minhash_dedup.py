@@ -394,11 +394,16 @@ def sharing(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return left.join(right, "k").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b")) & sizes).select(F.col("id").alias("a"), "b").distinct()
 
 
-def starred(open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different roots: the smallest id of each bucket of (bucket, id, root, rep), and the next smallest by a hash, with all its members."""
+def starred(open_: DataFrame, few: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different roots: the smallest id of each bucket of (bucket, id, root, rep), and the next smallest by a hash, with all its members.
+
+    With ``few``, each text meets those of so many of its buckets only, chosen by a hash.
+    """
     lowest = F.min(F.when(F.col("id") == F.col("rep"), F.struct(F.lit(0).cast("long").alias("h"), "id", "root")))
     drawn = F.min(F.when(F.col("id") != F.col("rep"), F.struct(F.xxhash64("bucket", "id").alias("h"), "id", "root")))
     tops = written(open_.groupBy("bucket").agg(F.array(lowest, drawn).alias("tops")), "tops")
+    if few:
+        open_ = open_.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("bucket", "id"), "bucket"))).where(F.col("r") <= few)
     met = open_.join(tops, "bucket").select("id", F.expr("transform(filter(tops, t -> t.root <> root), t -> t.id)").alias("tops"))
     return met.select(F.explode("tops").alias("a"), F.col("id").alias("b")).distinct()
 
@@ -426,12 +431,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     open_ = written(placed.join(mixed, "bucket", "left_semi"), "open")
     if open_.head(1):
-        # a few partners of each text join most of what can be joined, so that few of the other pairs are left in different classes
+        # a few buckets of each text join most of what can be joined, so that few pairs of the second round, in all buckets, are left in different classes
         for few in (4, None):
-            near = starred(open_)
-            if few:
-                near = near.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b")))).where(F.col("r") <= few).drop("r")
-            near = written(likely(near, signs, similarity), "near")
+            near = written(likely(starred(open_, few), signs, similarity), "near")
             stars = contracted(stars.unionByName(written(verified(near, texts, similarity), "links")), 1)
             open_ = written(open_.drop("root").join(roots_so_far(stars), "id", "left").withColumn("root", F.coalesce("root", "id")), "open")
         across = written(likely(sharing(open_.select("id", "root").distinct(), texts, similarity), signs, similarity), "across")
