@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkspark.llm import decontaminate, embedding_dedup, language_id, lm_score, minhash_dedup, mixing, phrases, secret_scan, sharding, spelling, url_filter, warc
+from inkspark.llm import decontaminate, embedding_dedup, language_id, lm_score, minhash_dedup, mixing, phrases, secret_scan, sharding, spelling, topk, url_filter, warc
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.query,
     "op10_decontaminate": decontaminate.query,
     "op11_spelling_variants": spelling.query,
+    "op12_topk_search": topk.query,
     "op13_phrase_mining": phrases.query,
 }
 #: the others learn from the data, align texts or deal rows; tests/llm hold them against brute force
@@ -24,5 +25,6 @@ ORACLES: dict[str, str] = {
     "op7_url_filter": url_filter.ORACLE,
     "op8_warc": warc.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op12_topk_search": topk.ORACLE,
     "op13_phrase_mining": phrases.ORACLE,
 }
