@@ -1,7 +1,7 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 Texts are split into pieces at marks and line ends, pieces into words. Prefix polynomials over a column's bytes hash its words, and
-prefix polynomials over the words' hashes every n-gram, mixed with its language. Spark sums fingerprints: of words, then of pairs
+prefix polynomials over the words' hashes every n-gram, mixed with its language. Spark sums fingerprints in sorted blocks: of words, then of pairs
 both of whose words are frequent, then of longer phrases all of whose pairs are. Nothing frequent is lost, since a phrase is as
 frequent as its parts at most; the sets of frequent fingerprints travel as Bloom filters of a fixed size, whose false positives
 only add rows to the next sum.
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspark.llm.common import hot_join, table, written
-from inkspark.llm.runs import Sieve, gathered, powers, prefix_hashes, spans, strings, word_hashes
-from inkspark.llm.textvec import LOWER, U, buffers, counted, mix, pieces
+from inkspark.llm.runs import Sieve, gathered, in_blocks, of_blocks, powers, spans, strings, word_hashes
+from inkspark.llm.textvec import LOWER, Counts, U, buffers, counted, mix, pieces
 
 CUT = np.zeros(256, bool)
 CUT[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -38,6 +38,8 @@ LONGEST = 4
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SALTS = 64
+_PIECE = 2 << 20
+_HELD = 1_000_000  # fingerprints that a task sums before it sends them
 
 
 class Words:
@@ -50,7 +52,7 @@ class Words:
         self.start, self.stop = spans(~NOT_WORD[self.raw], at)
         self.hash = word_hashes(self.raw, self.start, self.stop)
         self.row = np.searchsorted(at, self.start, "right") - 1
-        piece = np.cumsum(CUT[self.raw])[self.start] if len(self.start) else np.zeros(0, np.int64)
+        piece = np.cumsum(CUT[self.raw], dtype=np.int32)[self.start] if len(self.start) else np.zeros(0, np.int64)
         same = (piece[1:] == piece[:-1]) & (self.row[1:] == self.row[:-1])
         names = self.langs.dictionary_encode()
         raw, at = buffers(names.dictionary)
@@ -75,7 +77,7 @@ class Words:
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", _PIECE):
             yield Words(part)
 
 
@@ -97,18 +99,28 @@ def passing(w: Words, longest: int, sieves: list[Sieve]) -> Iterator[tuple[int,
             ok.append(held[:-1] & held[1:])
 
 
-def sums(docs: DataFrame, first: int, longest: int, sieves: list[Sieve]) -> DataFrame:
-    """(k, n): occurrences of the fingerprints of ``first`` to ``longest`` words that pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieves)
+def frequent_keys(docs: DataFrame, first: int, longest: int, sieves: list[Sieve], least: int, log_blocks: int) -> DataFrame:
+    """(k): fingerprints of ``first`` to ``longest`` words that pass and occur ``least`` times, cut to their first ``log_blocks`` + 32 bits.
+
+    Tasks sum what they read and send sorted blocks of it; a block number is one group of about the same size for any corpus.
+    """
+    shared, drop = docs.sparkSession.sparkContext.broadcast(sieves), U(32 - log_blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Counts(_HELD)
         for w in parsed(batches):
             for n, _, keys in passing(w, longest, shared.value):
-                if n >= first and len(keys):
-                    k, c = counted(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["k", "n"])
+                if n >= first:
+                    sums.add(keys >> drop)
+            if full := sums.full():
+                yield in_blocks(*full, least)
+        yield in_blocks(*sums.merged(), least)
+
+    def sum_up(rows: pa.Table) -> pa.Table:
+        k, n = counted(*of_blocks(rows, least))
+        return pa.table({"k": pa.array(k[n >= least].view(np.int64))})
 
-    return docs.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(count, "block long, gaps binary, n binary").groupBy("block").applyInArrow(sum_up, "k long")
 
 
 def distinct_phrases(w: Words, n: int, at: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -152,12 +164,14 @@ def _batch(langs: pa.Array, words: int, phrases: pa.Array, n: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(n), words, np.int32)), phrases.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "words", "phrase", "n"])
 
 
-def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, log_bits: int = 27) -> DataFrame:
+def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, log_bits: int = 27, block_bytes: int = 8 << 20) -> DataFrame:
     """(lang, words, phrase, n), written: all phrases of up to four words with at least ``least`` occurrences in their language, and by language the empty phrase with the number of all words."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    log_blocks = min(31, max(4, (size // block_bytes).bit_length()))
     sieves: list[Sieve] = []
     for first, longest in ((1, 1), (2, 2), (3, LONGEST)):
-        sieves.append(Sieve.of(sums(rows, first, longest, sieves).where(F.col("n") >= least), "k", log_bits))
+        sieves.append(Sieve.of(frequent_keys(rows, first, longest, sieves, least, log_blocks), "k", log_bits, 32 - log_blocks))
     exact = texts(rows, sieves).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     return written(exact.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
 
@@ -182,9 +196,9 @@ def covered(counts: DataFrame, cover: int) -> DataFrame:
     return inner.select("lang", "n", F.array_join(F.slice("w", F.col("x.i"), F.col("x.m")), " ").alias("phrase")).groupBy("lang", "phrase").agg(F.max("n").alias("most"))
 
 
-def mined(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, cover: int = 80, top: int = 2000, log_bits: int = 27) -> DataFrame:
+def mined(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, cover: int = 80, top: int = 2000, **sizes: int) -> DataFrame:
     """Each language's ``top`` collocations: (lang, rank, phrase, a, l, r, n, score)."""
-    counts = frequent(docs, text, lang, least, log_bits)
+    counts = frequent(docs, text, lang, least, **sizes)
     around = F.col("most").isNotNull() & (F.col("most").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * cover)
     kept = scored(counts).join(covered(counts, cover), ["lang", "phrase"], "left").where(~around).drop("most", "words")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

@@ -49,7 +49,7 @@ def prefix_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(values[lo:hi] * powers(_BASE, hi - lo), out=total[1:])
         s, t = start[k:e] - lo, stop[k:e] - lo
-        out[k:e] = (total[t] - total[s]) * powers(_INVERSE, hi - lo)[s]
+        out[k:e] = (total[t] - total[s]) * powers(_INVERSE, hi - lo + 1)[s]
         k = e
     return out
 
@@ -76,8 +76,8 @@ class Sieve:
 
     HASHES = 3
 
-    def __init__(self, words: np.ndarray):
-        self.words, self.shift = words, U(64 - (len(words) * 64).bit_length() + 1)
+    def __init__(self, words: np.ndarray, drop: int = 0):
+        self.words, self.shift, self.drop = words, U(64 - (len(words) * 64).bit_length() + 1), U(drop)
 
     @staticmethod
     def places(keys: np.ndarray, shift: np.uint64) -> Iterator[np.ndarray]:
@@ -86,13 +86,13 @@ class Sieve:
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
-        for p in self.places(keys, self.shift):
+        for p in self.places(keys >> self.drop, self.shift):
             out &= (self.words[(p >> U(6)).astype(np.int64)] >> (p & U(63)) & U(1)).astype(bool)
         return out
 
     @classmethod
-    def of(cls, keys: DataFrame, column: str, log_bits: int = 27) -> Sieve:
-        """Built by Spark: tasks set bits, words of bits are united by a shuffle; at most 2**(log_bits - 6) of them reach the driver, however many keys there are."""
+    def of(cls, keys: DataFrame, column: str, log_bits: int = 27, drop: int = 0) -> Sieve:
+        """Of keys without their last ``drop`` bits. Built by Spark: tasks set bits, words of bits are united by a shuffle; at most 2**(log_bits - 6) of them reach the driver, however many keys there are."""
         shift = U(64 - log_bits)
 
         def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,4 +106,26 @@ class Sieve:
         found = keys.select(F.col(column).cast("long")).mapInArrow(bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
         words = np.zeros(1 << (log_bits - 6), np.uint64)
         words[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-        return cls(words)
+        return cls(words, drop)
+
+
+def in_blocks(keys: np.ndarray, n: np.ndarray, most: int) -> pa.RecordBatch:
+    """Ascending keys and counts, cut by their first 32 bits: each block's differences by byte plane, which the shuffle's codec shortens, and counts up to ``most``."""
+    top = (keys >> U(32)).astype(np.int64)
+    begin = np.flatnonzero(np.append(True, top[1:] != top[:-1])) if len(keys) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(keys))[: len(begin)]
+    low = (keys & U(0xFFFFFFFF)).astype(np.uint32)
+    gap = np.diff(low, prepend=np.uint32(0))
+    gap[begin] = low[begin]
+    n = np.minimum(n, most).astype(np.min_scalar_type(most))
+    planes = [gap[b:e].view(np.uint8).reshape(-1, 4).T.tobytes() for b, e in zip(begin, end, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(top[begin], pa.int64()), pa.array(planes, pa.binary()), pa.array([n[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary())], ["block", "gaps", "n"])
+
+
+def of_blocks(rows: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the blocks of one number, not yet summed."""
+    keys, n = [], []
+    for gaps, c in zip(rows.column("gaps").to_pylist(), rows.column("n").to_pylist(), strict=True):
+        n.append(np.frombuffer(c, np.min_scalar_type(most)))
+        keys.append(np.cumsum(np.ascontiguousarray(np.frombuffer(gaps, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint64))
+    return np.concatenate(keys) + (U(rows.column("block")[0].as_py()) << U(32)), np.concatenate(n).astype(np.int64)

@@ -105,7 +105,7 @@ class Node:
 def bound(cq: np.ndarray, rq: float, cx: np.ndarray, rx: float) -> float:
     """No inner product between the two balls is above it."""
     most = float(cq @ cx) + rx * float(np.linalg.norm(cq)) + rq * float(np.linalg.norm(cx)) + rq * rx
-    return most + 1e-9 * (abs(most) + 1)
+    return most + 1e-9 * (abs(most) + 1) if np.isfinite(most) else np.inf
 
 
 def surviving(tree: CoverTree, nodes: dict[int, Node]) -> list[tuple[int, int]]:
@@ -202,7 +202,8 @@ def first_kth(x: np.ndarray, v: np.ndarray, sample: np.ndarray, names: np.ndarra
         s = x[i : i + _CHUNK] @ sample.T
         s[v[i : i + _CHUNK, None] == names[None]] = -np.inf
         out[i : i + _CHUNK] = np.partition(s, -k, axis=1)[:, -k]
-    return out - slack(x, sample)
+    out -= slack(x, sample)
+    return np.where(np.isfinite(out), out, -np.inf)
 
 
 @dataclass
@@ -254,9 +255,12 @@ def searched(q: np.ndarray, qv: np.ndarray, floor: np.ndarray, groups: list[tupl
         score = q @ x.T
         _, i, j = np.intersect1d(qv, v, assume_unique=True, return_indices=True)
         score[i, j] = -np.inf
-        if x.shape[0] > k:
-            least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k] - off)
-        hit = score >= (least - off)[:, None]
+        if not np.isfinite(off):  # beyond doubles: all are taken exactly
+            hit = np.ones(score.shape, bool)
+        else:
+            if len(x) > k:
+                least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k] - off)
+            hit = score >= (least - off)[:, None]
         hit[i, j] = False
         i, j = np.nonzero(hit)
         best.add(i, ids[j], named[j], score[i, j].astype(np.int64) if not off else np.array([exact(q[a], x[b]) for a, b in zip(i, j, strict=True)], np.int64))
