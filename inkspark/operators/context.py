@@ -16,7 +16,7 @@ from inkspark.operators import glossary
 def excerpts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", examples: int = 3, around: int = 80) -> DataFrame:
     """(src, n, key, at, excerpt): each term's first ``examples`` different excerpts, by document and place; case counts, occurrences of a term don't overlap.
 
-    White space in an excerpt is collapsed before excerpts are compared. Which document holds which term comes from the automaton; only those pairs
+    White space in an excerpt is collapsed before excerpts are compared. Which document holds which term comes from a join by grams; only those pairs
     are cut. A text is searched once from left to right, up to its own first ``examples`` different excerpts: a later one can't be among the
     term's first. Equal excerpts of different texts are collapsed to their first place; what differs is then thinned in 64 groups by the
     excerpt's hash before the term's own, so a common term is no single task.
