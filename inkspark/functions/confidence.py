@@ -30,7 +30,7 @@ EMOTICON_JAMO = r"[\u314b\u314e\u3160\u315c]"
 KANA_LETTERS = r"[\u3040-\u309a\u309d-\u309f\u30a0-\u30fa\u30fd-\u30ff\u31f0-\u31ff\uff66-\uff9f]"
 LATIN_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff"
 CYRILLIC_LETTERS = r"\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f"
-ARABIC_LETTERS = r"\u0620-\u063f\u0641-\u064a\u066e-\u066f\u0671-\u06d3\u06d5\u06fa-\u06fc\u06ff\u0750-\u077f\u0870-\u0887\u08a0-\u08c9\ufb50-\ufdff\ufe70-\ufefc"
+ARABIC_LETTERS = r"\u0620-\u063f\u0641-\u064a\u066e-\u066f\u0671-\u06d3\u06d5\u06e5-\u06e6\u06ee-\u06ef\u06fa-\u06fc\u06ff\u0750-\u077f\u0870-\u0887\u08a0-\u08c9\ufb50-\ufdff\ufe70-\ufefc"
 #: by source language: letters, words and characters of a run that source and translation share
 POLICIES = {**{x: (LATIN_LETTERS, 4, 20) for x in LATIN_SOURCES}, "ru": (CYRILLIC_LETTERS, 3, 18), "ar": (ARABIC_LETTERS, 3, 18)}
 IDENTIFIER = r"(?i)\b(?:ISBN(?:-1[03])?|ISSN|DOI|EAN|ASIN)\b"
@@ -70,8 +70,25 @@ def share(text: Column, pattern: str) -> Column:
     return X.count_of(text, pattern) / F.greatest(F.char_length(text), F.lit(1))
 
 
-def residue(src: Column, dst: Column, source: str | None, target: str | None) -> Column:
-    """Source language left in the translation: Korean words and jamo, kana, or, into Chinese, unbroken source script or a run of words that both share."""
+# fixed values: runs of Korean sounds, up to two syllables before each jamo
+PHONETIC = r"[\uac00-\ud7a3]{0,2}[\u1100-\u11ff\u3130-\u318f\ua960-\ua97f\ud7b0-\ud7ff](?:[\uac00-\ud7a3]{0,2}[\u1100-\u11ff\u3130-\u318f\ua960-\ua97f\ud7b0-\ud7ff])*"
+
+
+def without_kept_sounds(src: Column, dst: Column) -> Column:
+    """A Chinese translation without the fragments of two to four characters that its source holds too, each taken as often as the source has it."""
+    own = F.filter(F.regexp_extract_all(src, F.lit(PHONETIC), F.lit(0)), lambda f: F.char_length(f).between(2, 4))
+    parts = F.regexp_extract_all(dst, F.lit(f"(?s){PHONETIC}|(?:(?!{PHONETIC}).)+"), F.lit(0))
+    held = lambda of, f: F.size(F.filter(of, lambda x: x == f))
+    kept = F.filter(F.transform(parts, lambda p, i: F.when(held(F.slice(parts, 1, i + 1), p) > held(own, p), p)), lambda p: p.isNotNull())
+    return F.when(dst.rlike(X.CJK) & (F.size(own) > 0), F.array_join(kept, "")).otherwise(dst)
+
+
+def residue(src: Column, dst: Column, source: str | None, target: str | None, keep_sounds: bool = False) -> Column:
+    """Source language left in the translation: Korean words and jamo, kana, or, into Chinese, unbroken source script or a run of words that both share.
+
+    keep_sounds: sounds that a Chinese translation keeps from its Korean source as they stand are not residue."""
+    if source == "ko" and keep_sounds and target in CHINESE:
+        dst = without_kept_sounds(src, dst)
     if source == "ko":
         has_cjk, jamo = dst.rlike(X.CJK), X.count_of(dst, JAMO)
         emoticons = (jamo == X.count_of(dst, EMOTICON_JAMO)) | (jamo == 1)

@@ -27,6 +27,53 @@ def quality_rank(tags: Column) -> Column:
     return F.struct(has("source_residue").alias("residue"), has("verbatim_echo").alias("echo"), has("target_language_weak").alias("weak"), has("model_chatter").alias("chatter"), F.size(tags).alias("tags"))
 
 
+# fixed values: letters by target language, and those that a source leaves behind
+KOREAN_LEFT = r"[\u1100-\u11ff\u3130-\u318f\ua960-\ua97f\uac00-\ud7af\ud7b0-\ud7ff\uffa0-\uffdc]"
+KANA_LEFT = r"[\u3040-\u309a\u309d-\u309f\u30a0-\u30fa\u30fd-\u30ff\u31f0-\u31ff\uff66-\uff9f]"
+TARGET_LETTERS = {"zh": X.CJK, "zh-Hant": X.CJK, "ko": KOREAN_LEFT, "ja": r"[\u3040-\u309a\u309d-\u309f\u30a0-\u30fa\u30fd-\u30ff\u31f0-\u31ff\uff66-\uff9f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]", "ru": X.CYRILLIC, "ar": X.ARABIC, "th": X.THAI}
+LATIN_TARGET = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+SOURCE_LEFT = {"ko": KOREAN_LEFT, "ja": KANA_LEFT}
+RANKS = ("filled", "no_chatter", "not_source", "no_mass_residue", "target_share", "less_residue", "less_alike", "fewer_reasons")
+
+
+@F.pandas_udf(T.DoubleType())
+def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp ratio without white space and punctuation, case kept."""
+    a, b = (x.fillna("").str.replace(r"[\s\W_]+", "", regex=True) for x in (a, b))
+    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+
+
+def ranked(candidates: DataFrame, source: str, target: str, src: str = "src", text: str = "text", reasons: str = "reasons") -> DataFrame:
+    """Add rank: eight numbers, compared one after another, the larger the better."""
+    said = F.lower(F.array_join(F.coalesce(reasons, F.array().cast("array<string>")), " "))
+    t, s = X.stripped(F.col(text)), X.stripped(F.col(src))
+    rows = candidates.withColumns({"_t": t, "_s": s, "_said": said}).withColumn("_alike", F.when(F.col("_t") == F.col("_s"), F.when(F.regexp_replace("_t", r"(?U)[\s\W_]+", "") == "", 0.0).otherwise(1.0)))
+    rows = rows.withColumn("_alike", F.coalesce("_alike", alike("_t", F.col(src))))
+    letters = TARGET_LETTERS.get(target, LATIN_TARGET)
+    share = X.count_of(F.col("_t"), f"[{letters}&&\\p{{L}}]") / F.greatest(X.count_of(F.col("_t"), r"\p{L}"), F.lit(1))
+    left = F.when(F.col("_t") == "", 1.0).otherwise(X.count_of(F.col("_t"), SOURCE_LEFT[source]) / F.char_length("_t") if source in SOURCE_LEFT else 0.0)
+    suspect = F.col("_said").contains("residue") | F.col("_said").contains("too similar")
+    mass = suspect & ((F.col("_t") == F.col("_s")) | (F.col("_alike") >= 0.92) | (left >= 0.5))
+    keys = [F.col("_t") != "", ~F.col("_said").contains("model_chatter"), F.col("_t") != F.col("_s"), ~mass, share, -left, -F.col("_alike"), -F.size(F.coalesce(reasons, F.array().cast("array<string>")))]
+    return rows.withColumn("rank", F.struct(*[k.cast("double").alias(n) for k, n in zip(keys, RANKS, strict=True)])).drop("_t", "_s", "_said", "_alike")
+
+
+def recovered(candidates: DataFrame, key: str = "segment_id", order: str = "round") -> DataFrame:
+    """Rounds of recovery folded: each candidate (key, order, rank, again, ...) with taken, and last on the one that stays.
+
+    A candidate is taken if its rank is above all before it, and as long as the one taken last would be asked for again; what comes when a
+    segment isn't asked for any more is nobody's. The first candidate is taken in any case. Equal orders of a key are told apart by the rank, the better first.
+    """
+    w = Window.partitionBy(key).orderBy(order, F.desc("rank"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = candidates.withColumn("_best", F.max("rank").over(before))
+    rows = rows.withColumn("taken", F.col("_best").isNull() | (F.col("rank") > F.col("_best")))
+    closed = F.max(F.col("taken") & ~F.coalesce("again", F.lit(False))).over(before)
+    rows = rows.withColumn("taken", F.col("taken") & ~F.coalesce(closed, F.lit(False))).drop("_best")
+    later = F.max("taken").over(w.rowsBetween(1, Window.unboundedFollowing))
+    return rows.withColumn("last", F.col("taken") & ~F.coalesce(later, F.lit(False)))
+
+
 def aligned(asked: DataFrame, answered: DataFrame, group: str = "subtask_id") -> DataFrame:
     """Answers (group, index, text) put to what was asked (group, index): by key where all keys are known, by position where none is and
     the counts are equal, else the known keys only. Adds text and policy."""

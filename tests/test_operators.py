@@ -34,12 +34,12 @@ def test_rule_files(spark, tmp_path):
 
 
 def test_matching_agrees_with_a_naive_scan(spark):
-    texts = ["The other theory", "THE END", "x", "", "éa the", None]
-    terms = [("the", False), ("The", True), ("theory", False), ("x", True), ("éa", False), ("zz", False)]
+    texts = ["The other theory", "THE END", "x", "", "éa the", None, "ΟΔΟΣΑ οδός", "a new  york line", "New York City", "東京都に行く"]
+    terms = [("the", False), ("The", True), ("theory", False), ("x", True), ("éa", False), ("zz", False), ("ΟΔΟΣ", True), ("ΟΔΟΣΑ", False), ("New York", True), ("new york", False), ("w y", False), ("京都", False), ("都に", True)]
     want = sorted((i, s) for i, t in enumerate(texts) for s, c in terms if t and (s in t if c else s.lower() in t.lower()))
     rows, known = lines(spark, *texts), spark.createDataFrame(terms, "src string, case_sensitive boolean")
-    for how in (glossary.matched, glossary.matched_by_grams):
-        assert sorted((r.seg_idx, r.src) for r in how(rows, known).collect()) == want
+    for hot in (1, 10_000):  # salted grams, and none
+        assert sorted((r.seg_idx, r.src) for r in glossary.matched(rows, known, hot=hot).collect()) == want
     first = {r.seg_idx: r.terms for r in glossary.longest_first(glossary.matched(rows, known)).collect()}
     assert first[0] == ["theory", "The", "the"]
 
