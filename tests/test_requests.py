@@ -208,3 +208,47 @@ def test_replacements_leave_markup_alone(spark):
     old = spark.createDataFrame([(0, plan[0].fingerprint), (1, "stale")], "page_id int, fingerprint string")
     assert {r.page_id: r.state for r in markup.replacement_plan(pages(spark), "world|AB", "q", old).collect()} == {0: "ready", 1: "changed"}
     assert [(r.page_id, r.before) for r in markup.samples(markup.matches(markup.pieces(pages(spark)), "[a-e]"), "q", most=3).collect()] == [(0, "e"), (0, "d"), (0, "e")]
+
+
+# drift
+
+
+def brute_partners(items):
+    from difflib import SequenceMatcher
+    import re
+
+    def like(a, b):
+        a, b = (re.sub(r"[\W_]+", "", x) for x in (a, b))
+        return SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else 0.0
+
+    out = set()
+    for g, o, src, dst, new in items:
+        if new is None or len(src) < 120 or len(new) < 80 or len(dst) < 80:
+            continue
+        own = like(new, dst)
+        for g2, o2, src2, dst2, _ in sorted(x for x in items if x[0] == g and x[1] != o):
+            if len(dst2) >= 80 and like(new, dst2) >= 0.45 and like(new, dst2) - own >= 0.25 and like(src, src2) < 0.70:
+                out.add((g, o, o2))
+                break
+    return out
+
+
+def test_drift_partners_equal_all_pairs(spark):
+    from inkspark.operators import drift
+
+    r = np.random.default_rng(11)
+    text = lambda n: " ".join("".join(r.choice(list("abcdeéfg"), size=int(r.integers(2, 8)))) for _ in range(n))
+    items = []
+    for g in range(3):
+        dsts = [text(int(r.integers(12, 30))) for _ in range(25)]
+        srcs = [text(int(r.integers(20, 40))) for _ in range(25)]
+        srcs[7] = srcs[8]  # alike sources aren't drift
+        for o in range(25):
+            new = {0: dsts[(o + 1) % 25], 1: dsts[o], 2: None, 3: dsts[(o + 5) % 25][: len(dsts[(o + 5) % 25]) // 2] + dsts[o][:40], 4: text(20)}[int(r.integers(0, 5))]
+            items.append((g, o, srcs[o], dsts[o], new))
+    items += [(4, 0, "s" * 130, "d" * 90, ""), (4, 1, "", "", None), (5, 0, "x, " * 50, "y. " * 40, ". " * 50)]
+    want = brute_partners(items)
+    assert len(want) > 8
+    d = spark.createDataFrame(items, "group long, ord long, src string, dst string, candidate string")
+    for block in (512, 6):
+        assert {tuple(x) for x in drift.partners(d, block=block).collect()} == want
