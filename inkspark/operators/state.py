@@ -94,3 +94,34 @@ def risk_rank(tags: Column, order: list[str]) -> Column:
     for i, tag in reversed(list(enumerate(order))):
         rank = F.when(F.array_contains(tags, tag), i).otherwise(rank)
     return rank
+
+
+# fixed values: what names mark side stories with, and the units of volumes and chapters
+EXTRA = r"(?:외전|번외|특별|番外|外传|外傳|特别|特別|后日谈|後日談|spinoff|side\s*story|extra|special)"
+UNIT = r"(?:권|卷|冊|册|화|話|话|장|章|회|回|부|部|편|篇|탄|巻|episode|ep|chapter|chap|ch|volume|vol)"
+ORDERED = rf"(?:(?:第|제)\s*(\d+)\s*{UNIT}?|(\d+)\s*{UNIT})"
+UNNUMBERED = 999_999
+
+
+def natural_parts(text: Column) -> Column:
+    """Sorts numbers in a text by their value, before letters."""
+    parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
+    digits = lambda p: p.rlike(r"^\d+$")
+    return F.transform(parts, lambda p: F.struct((~digits(p)).alias("text"), F.when(digits(p), p.cast("decimal(38,0)")).otherwise(0).alias("n"), F.when(digits(p), "").otherwise(p).alias("s")))
+
+
+def volume_key(name: Column) -> Column:
+    """(series, extra, number) of a volume's file name: its series without numbers and marks, whether it is a side story, and its number."""
+    extra = name.rlike(f"(?i){EXTRA}")
+    series = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, f"(?i){EXTRA}", " "), f"(?i){ORDERED}", " "), r"\d+", " ")
+    series = F.trim(F.regexp_replace(F.lower(F.regexp_replace(series, r"[\[\]【】()（）<>《》@#,_\-.]+", " ")), r"\s+", " "))
+    first = lambda pattern, g: F.nullif(F.regexp_extract(name, f"(?i){pattern}", g), F.lit(""))
+    number = F.coalesce(F.when(extra, first(rf"{EXTRA}\s*(\d+)", 1)), first(ORDERED, 1), first(ORDERED, 2), first(r"(\d+)", 1), F.lit(str(UNNUMBERED)))
+    return F.struct(series.alias("series"), extra.alias("extra"), number.cast("decimal(38,0)").alias("number"))
+
+
+def volume_order(name: Column) -> list[Column]:
+    """Sorts volumes: by series, main volumes before side stories, by number, then by name; all numbers by their value."""
+    stem = F.regexp_replace(name, r"(?<=.)\.[^./]*$", "")
+    key = volume_key(stem)
+    return [natural_parts(key["series"]), key["extra"], key["number"], natural_parts(name)]

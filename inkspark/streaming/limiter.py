@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,25 +22,29 @@ def admitted(events: DataFrame, requests: int, tokens: int, seconds: int = 60) -
     width = seconds * 1_000_000
 
     def replay(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at, used = ([list(x) for x in state.get] if state.exists else ([], []))
+        at, used = ([deque(x) for x in state.get] if state.exists else (deque(), deque()))
+        held = sum(used)
         rows = pd.concat(list(batches)).sort_values(["ts", "request_id"], ignore_index=True)
         out = []
         for ts, n in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["tokens"].fillna(0).astype("int64"), strict=True):
             while at and at[0] <= ts - width:
-                at.pop(0)
-                used.pop(0)
-            ok = not at or (len(at) < requests and sum(used) + n <= tokens)
+                at.popleft()
+                held -= used.popleft()
+            ok = not at or (len(at) < requests and held + n <= tokens)
             wait = 0
             if not ok:
-                k, held, count = 0, sum(used), len(at)
-                while k < len(at) and (count >= requests or held + n > tokens):
-                    held, count, k = held - used[k], count - 1, k + 1
-                wait = at[k - 1] + width - ts
+                left, count, last = held, len(at), None
+                for last, freed in zip(at, used, strict=True):
+                    left, count = left - freed, count - 1
+                    if count < requests and left + n <= tokens:
+                        break
+                wait = last + width - ts
             else:
                 at.append(int(ts))
                 used.append(int(n))
+                held += int(n)
             out.append((ok, int(wait)))
-        state.update((at, used))
+        state.update((list(at), list(used)))
         rows["profile"] = key[0]
         rows["admitted"], rows["waiting_us"] = [x[0] for x in out], [x[1] for x in out]
         yield rows[["profile", "request_id", "ts", "tokens", "admitted", "waiting_us"]]

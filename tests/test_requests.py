@@ -252,3 +252,33 @@ def test_drift_partners_equal_all_pairs(spark):
     d = spark.createDataFrame(items, "group long, ord long, src string, dst string, candidate string")
     for block in (512, 6):
         assert {tuple(x) for x in drift.partners(d, block=block).collect()} == want
+
+
+# headings and volumes
+
+
+def test_heading_presets(spark):
+    from inkspark.operators import quality
+
+    texts = ["#### d", "# A  b ：", "第十二章 门", "正文卷 第3回 x", "제 3 화 문", "프롤로그", "第三巻", "Chapter 12 - Door", "1.2 x", "３．門", "12", "plain", "番外 二 y", "CHAPTER", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, line string")
+    got = lambda *a, **k: {r.i: (r.level, r.title) for r in quality.headings(rows, *a, **k).collect()}
+    assert got() == {0: (4, "d"), 1: (1, "A b")} == got("unknown")
+    assert got("zh_novel") == {2: (2, "第十二章 门"), 3: (2, "正文卷 第3回 x"), 8: (2, "1.2 x"), 10: (2, "12"), 12: (2, "番外 二 y")}
+    assert got("ko_novel")[4] == (2, "제 3 화 문") and got("ko_novel")[5] == (1, "프롤로그") and got("ja_novel")[6] == (1, "第三巻") and got("en_chapter")[7] == (2, "Chapter 12 - Door")
+    assert got(custom=[(3, ""), (2, r"^(x)?(pl)ain")]) == {11: (2, "pl")}
+    assert got(advanced=r"^Chapter (?P<title>\d+)", custom=[(2, "plain")]) == {7: (1, "12")}
+    folded = {r.i: r.confidence for r in quality.headings(rows, advanced="CHAPTER|^３").collect()}
+    assert folded == {7: 0.95, 9: 0.72, 13: 0.95}
+
+
+def test_volumes_before_side_stories(spark):
+    from inkspark.operators import state
+
+    names = ["[플로나] 모두가 1권.epub", "[플로나] 모두가 2권.epub", "[플로나] 모두가 10권.epub", "[플로나] 모두가 외전 1.epub", "[플로나] 모두가 외전 2.epub", "다른 vol 1.epub", "다른.epub", "다른 Side Story.epub"]
+    rows = spark.createDataFrame([(n,) for n in reversed(names)], "name string")
+    got = [r.name for r in rows.orderBy(*state.volume_order(F.col("name"))).collect()]
+    assert got.index("[플로나] 모두가 10권.epub") == got.index("[플로나] 모두가 2권.epub") + 1
+    assert [n for n in got if "플로나" in n] == names[:5]
+    keys = {r.name: tuple(r.k) for r in rows.select("name", state.volume_key(F.col("name")).alias("k")).collect()}
+    assert keys["다른 vol 1.epub"][1:] == (False, 1) and keys["다른 Side Story.epub"][1:] == (True, 999_999) and keys["[플로나] 모두가 외전 2.epub"][1:] == (True, 2)
