@@ -79,11 +79,15 @@ def occurrences(df: DataFrame, column: str, rule: Rule, before: int = 45, after:
     )
 
 
+SENTINEL = "⟦[0-9]+⟧"
+
+
 def masked(df: DataFrame, column: str, patterns: list[str]) -> DataFrame:
-    """Protected spans replaced by numbered sentinels: <column>_masked and spans. Patterns match in turn, at each place the earlier first."""
-    union = "|".join(f"(?:{p})" for p in patterns)
-    if not union:
-        return df.withColumns({f"{column}_masked": F.col(column), "spans": F.array().cast("array<string>")})
+    """Protected spans replaced by numbered sentinels: <column>_masked and spans. Patterns match in turn, at each place the earlier first.
+
+    What looks like a sentinel in the text itself is protected as well, so every sentinel of the masked text is one of ours.
+    """
+    union = "|".join(f"(?:{p})" for p in [SENTINEL, *patterns])
     spans = F.regexp_extract_all(column, F.lit(f"({union})"), 1)
     parts = F.split(F.col(column), union)
     rest = F.transform(F.sequence(F.lit(1), F.size(spans)), lambda i: F.concat(F.lit("⟦"), (i - 1).cast("string"), F.lit("⟧"), F.element_at(parts, i + 1)))
@@ -92,6 +96,8 @@ def masked(df: DataFrame, column: str, patterns: list[str]) -> DataFrame:
 
 
 def restored(text: Column, spans: Column) -> Column:
-    """Sentinels back to their spans."""
-    numbered = F.transform(spans, lambda s, i: F.struct(i.alias("i"), s.alias("s")))
-    return F.aggregate(numbered, text, lambda t, x: F.replace(t, F.concat(F.lit("⟦"), x["i"].cast("string"), F.lit("⟧")), x["s"]))
+    """Sentinels back to their spans, all in one pass: what a span holds isn't looked at again, and unknown numbers stay."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)({SENTINEL}|(?:(?!{SENTINEL}).)+)"), F.lit(1))
+    number = lambda p: F.regexp_extract(p, "^⟦([0-9]{1,9})⟧$", 1)
+    back = F.transform(parts, lambda p: F.when(number(p) == "", p).otherwise(F.coalesce(F.get(spans, F.nullif(number(p), F.lit("")).cast("int")), p)))
+    return F.when(text.isNotNull(), F.array_join(back, ""))

@@ -116,6 +116,10 @@ def test_rewriting(spark):
     hidden = rewrite.masked(lines(spark, "a {x} b <i>"), "line", [r"\{[^}]*\}", r"<[^>]*>"])
     r = hidden.select("line_masked", "spans", rewrite.restored(F.col("line_masked"), F.col("spans")).alias("back")).first()
     assert (r.line_masked, r.spans, r.back) == ("a ⟦0⟧ b ⟦1⟧", ["{x}", "<i>"], "a {x} b <i>")
+    odd = ["own ⟦0⟧ {y}", "{⟦1⟧} {z}", "⟦7⟧", "", None, "plain", "{a\nb}"]
+    both = rewrite.masked(lines(spark, *odd), "line", [r"(?s)\{[^}]*\}"]).select("seg_idx", "line_masked", "spans", rewrite.restored(F.col("line_masked"), F.col("spans")).alias("back")).orderBy("seg_idx").collect()
+    assert [r.back for r in both] == odd and both[0].line_masked == "⟦0⟧ ⟦1⟧".join(["own ", ""])
+    assert both[1].spans == ["{⟦1⟧}", "{z}"]
 
 
 def test_quality(spark):
