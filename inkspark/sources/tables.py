@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspark.sources.encodings import detected
+
 NEWLINE = r"\r\n|\n|\r"
 
 
@@ -44,30 +46,21 @@ def pairs(conversations: DataFrame) -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str, suffixes: str = "*.{txt,TXT}") -> DataFrame:
-    """Files under a folder, decoded: path, encoding, text. UTF-8 (with or without mark), UTF-16 with mark, then the legacy encodings that decode."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [decoded(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e for _, e in got]), pa.array([t for t, _ in got])], ["path", "encoding", "text"])
-
+    """Files under a folder, decoded: path, encoding, text, confidence."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffixes).load(path)
-    return files.select("path", "content").mapInArrow(decode, "path string, encoding string, text string")
+    return decoded(files.select("path", "content"))
 
 
-# fixed values: encodings that are tried in turn
-ENCODINGS = ("utf-8-sig", "cp949", "cp932", "gb18030", "big5", "cp1252")
+def decoded(rows: DataFrame) -> DataFrame:
+    """(key, content) rows decoded: key, encoding, text, confidence. UTF-8 (with or without mark), UTF-16 with mark, then the likeliest legacy encoding."""
 
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(None, None, None) if x is None else detected(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[k] for g in got], kind) for k, kind in ((1, pa.string()), (0, pa.string()), (2, pa.float64())))], [batch.schema.names[0], "encoding", "text", "confidence"])
 
-def decoded(raw: bytes) -> tuple[str, str]:
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return raw.decode("utf-16", "replace"), "utf-16"
-    for name in ENCODINGS:
-        try:
-            return raw.decode(name), name
-        except UnicodeDecodeError:
-            continue
-    return raw.decode("utf-8", "replace"), "utf-8"
+    key = rows.schema.fields[0]
+    return rows.mapInArrow(decode, f"`{key.name}` {key.dataType.simpleString()}, encoding string, text string, confidence double")
 
 
 def replacement_rules(spark: SparkSession, path: str) -> DataFrame:

@@ -24,7 +24,7 @@ def test_decoding(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes("﻿é".encode())
     (tmp_path / "c.txt").write_bytes("x\n".encode("utf-16"))
     got = {r.path[-5:]: (r.encoding, r.text) for r in S.text_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": ("cp949", "한국어"), "b.txt": ("utf-8-sig", "é"), "c.txt": ("utf-16", "x\n")}
+    assert got == {"a.txt": ("cp949", "한국어"), "b.txt": ("utf-8", "é"), "c.txt": ("utf-16", "x\n")}
 
 
 def test_rule_files(spark, tmp_path):
