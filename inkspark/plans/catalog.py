@@ -392,4 +392,4 @@ def glossary_conflicts(spark, d):
     return glossary.conflicts(rows).select("key", F.array_join("targets", ",").alias("targets"), "entries")
 
 
-from inkspark.plans import pages, requests, rules  # noqa: E402,F401  they register their queries with those above
+from inkspark.plans import contrasts, pages, requests, rules  # noqa: E402,F401  they register their queries with those above
