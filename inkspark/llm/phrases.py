@@ -38,8 +38,8 @@ LONGEST = 4
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SALTS = 64
-_PIECE = 2 << 20
-_HELD = 1_000_000  # fingerprints that a task sums before it sends them
+_PIECE = 1 << 20
+_HELD = 300_000  # fingerprints that a task sums before it sends them
 
 
 class Words:

@@ -68,7 +68,10 @@ def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
 def gathered(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The bytes of the spans one after another."""
     before = np.cumsum(lengths) - lengths
-    return data[np.repeat(start - before, lengths) + np.arange(int(lengths.sum()))]
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    at = np.repeat((start - before).astype(kind), lengths)
+    at += np.arange(len(at), dtype=kind)
+    return data[at]
 
 
 class Sieve:
