@@ -35,6 +35,7 @@ from inkspark.llm.common import components, contracted, hot_join, roots_so_far,
 from inkspark.llm.textvec import WORD, U, mix, pieces, words
 
 K, PLACES = 5, 128
+COMPACT = "zstd"  # of the texts, which are written once and read often
 BROADCAST_ROWS = 200_000  # ids of 8 bytes, or two of them
 _C = mix(np.arange(1, K + 1, dtype=np.uint64) * U(0x51ED270B8A4F7C35)) | U(1)
 
@@ -417,9 +418,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     same = written(hot_join(copies, first, "digest", "n").select("id", "first"), "same")
     repeats = _repeats(copies)
     texts = rows.join(first.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
-    texts = written(texts.dropDuplicates(["id", "text"]) if repeats else texts, "texts")
+    texts = written(texts.dropDuplicates(["id", "text"]) if repeats else texts, "texts", COMPACT)
     buckets = written(sketched(texts, sketches, sample), "buckets")
-    low = buckets.groupBy("bucket").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    low = buckets.groupBy("bucket").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "rep")
     met = written(buckets.join(low, "bucket"), "met")
     signs = written(signed(texts), "signs")
     # first each text with the smallest id that it meets most often; then what is in different classes still
