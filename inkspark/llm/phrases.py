@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspark.llm.common import hot_join, table, written
+from inkspark.llm.common import hot_join, small_batches, table, written
 from inkspark.llm.runs import Sieve, gathered, in_blocks, of_blocks, powers, spans, strings, word_hashes
 from inkspark.llm.textvec import LOWER, Counts, U, buffers, counted, mix, pieces
 
@@ -38,7 +38,7 @@ LONGEST = 4
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SALTS = 64
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _HELD = 300_000  # fingerprints that a task sums before it sends them
 
 
@@ -170,10 +170,11 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log_blocks = min(31, max(4, (size // block_bytes).bit_length()))
     sieves: list[Sieve] = []
-    for first, longest in ((1, 1), (2, 2), (3, LONGEST)):
-        sieves.append(Sieve.of(frequent_keys(rows, first, longest, sieves, least, log_blocks), "k", log_bits, 32 - log_blocks))
-    exact = texts(rows, sieves).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return written(exact.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+    with small_batches(docs.sparkSession):
+        for first, longest in ((1, 1), (2, 2), (3, LONGEST)):
+            sieves.append(Sieve.of(frequent_keys(rows, first, longest, sieves, least, log_blocks), "k", log_bits, 32 - log_blocks))
+        exact = texts(rows, sieves).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+        return written(exact.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
 
 
 def scored(counts: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Spelling variants, exact top-k search and phrase mining against brute force and on odd rows."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -253,6 +254,24 @@ def test_polynomials_that_collide_are_told_apart(spark):
     assert mined(spark.createDataFrame(rows, "lang string, text string"), least=3) == brute_phrases(rows, 3)
 
 
+def test_phrase_passes_hold_few_bytes(spark, made_phrases, monkeypatch):
+    """A batch of 2 MB is parsed in under 20 MB; texts come a thousand at once, and the session's own number is as before."""
+    text = pa.array(["mot " * 500] * 1_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(["fr"] * 1_000), text], ["lang", "text"])
+    list(phrases.passing(next(phrases.parsed([batch])), 4, []))  # the powers are made once
+    tracemalloc.start()
+    for w in phrases.parsed([batch]):
+        list(phrases.passing(w, 4, []))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(phrases, "written", lambda df, n: seen.append(spark.conf.get(name)) or written(df, n))
+    phrases.frequent(spark.createDataFrame(made_phrases, "lang string, text string"))
+    assert seen == ["1000"] and spark.conf.get(name) == before
+
+
 def test_blocks_round_trip():
     r = np.random.default_rng(8)
     keys = np.unique(r.integers(0, 1 << 36, 5_000).astype(np.uint64))
