@@ -156,6 +156,19 @@ def test_lm_scores_agree_with_walking_the_automaton(spark, docs, order):
     assert held.score.sum() > held.base_score.sum() + 0.005 * abs(held.base_score.sum())
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scores_are_whole_when_little_is_broadcast(spark, docs, order):
+    """The shares bound what is broadcast; rarer words and n-grams count all the same."""
+    d = spark.createDataFrame([(i, t, i % 5 == 1) for i, t in enumerate(docs.text.dropna().head(60))], "doc_id long, text string, held_out boolean").repartition(3)
+    train = d.where("not held_out")
+    whole, part = (lm_score.train(train, order=order, **shares) for shares in ({}, {"word_share": 0.02, "arc_share": 0.05}))
+    assert len(part[0].keys[0]) <= 50 and all(len(k) <= 20 for k in part[0].keys[1:]) and len(whole[0].keys[1]) > 100
+    want, got = ({r.doc_id: r for r in lm_score.score(d, *x).collect()} for x in (whole, part))
+    assert len(got) == 60
+    for i, r in want.items():
+        assert got[i][:5] == r[:5] and np.allclose(got[i][5:], r[5:], rtol=1e-9)
+
+
 def test_lm_prefers_text_to_made_up_words(spark, docs):
     train = docs.text.dropna().head(100).tolist()
     model, table = lm_score.train(spark.createDataFrame([(t,) for t in train], "text string"))
