@@ -409,3 +409,17 @@ def test_secret_network_finds_what_rules_miss(spark):
     assert sum(got[i].n_cnn for i in range(301, 340, 2)) >= 14 and sum(got[i].n_cnn for i in range(300, 340, 2)) >= 12
     assert sum(got[i].n_cnn for i in range(150, 300)) <= 8
     assert sum(got[i].n_secret for i in range(150)) >= 120 and all(got[i].n_candidates == 1 for i in range(150))
+
+
+def test_secret_network_learns_from_every_window(spark, monkeypatch):
+    """Windows beyond any number of rows are fitted on, calibrated or reported, over several groups that average to a network that works."""
+    r = np.random.default_rng(4)
+    key = lambda n: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), n))
+    rows = [f"some words password={key(24)} and more" for _ in range(3_600)] + [f"we called 10.{i}.0.{i % 9}.{i} at 2024-01-{i:03d} today" for i in range(600)]
+    scan = secret_scan.scanned(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    used = []
+    fitted = secret_scan.fitted
+    monkeypatch.setattr(secret_scan, "fitted", lambda windows, *x: used.append((windows.where("secret").count(), windows.select("group").distinct().count())) or fitted(windows, *x))
+    net = secret_scan.train(scan, group=1_200)
+    assert used == [(3_600, 4), (3_600, 4)] or used[0][0] == 3_600 and used[0][1] > 1
+    assert net.report["recall"] >= 0.85 and net.report["clean_under"] >= 0.95 and net.report["findings"] > 600, net.report
