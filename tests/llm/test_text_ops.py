@@ -156,6 +156,17 @@ def test_lm_scores_agree_with_walking_the_automaton(spark, docs, order):
     assert held.score.sum() > held.base_score.sum() + 0.005 * abs(held.base_score.sum())
 
 
+def test_lm_scoring_writes_no_asked_ngrams(spark, docs, monkeypatch):
+    """They are as many as the corpus' tokens and go straight into the join; what is written is a row a text."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("held_out", lm_score.crc_mod("doc_id", 5) == 1)
+    model, table = lm_score.train(d.where("not held_out"), order=2, word_share=0.02, arc_share=0.05)
+    seen, real = [], lm_score.written
+    monkeypatch.setattr(lm_score, "written", lambda df, name: seen.append(df.schema.simpleString()) or real(df, name))
+    assert lm_score.score(d, model, table).count() == d.count()
+    assert len(seen) == 1 and "array" not in seen[0]
+
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_scores_are_whole_when_little_is_broadcast(spark, docs, order):
     """The shares bound what is broadcast; rarer words and n-grams count all the same."""
