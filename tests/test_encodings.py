@@ -45,3 +45,20 @@ def test_marks_and_bytes_that_nothing_decodes():
     assert detected(b"plain") == ("plain", "utf-8", 1.0)
     assert all(likelihood(b"\xff\xff\x81", n) is None or n in ("koi8-r", "cp1251", "cp1256") for n in CANDIDATES)
     assert detected(b"\xff\xfe\x00")[1] != "utf-16"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SCHEIN!! ENÜÖ!! TZGEER!! ER!! ÖCH!! VON!! CHS\nCHÜ!! CHAUAU!!", "ÇÉ!! ÊELLE!! OURÉ!! QUECHLE,!! ÈÊ.\nDE!! AU!! È!! ÈÉÊ!!", "La é le de de.", "Anaieux éé èçou éç.", "Te auunger von ö beberte. tum",
+        "Le " * 24 + "éè " * 25 + "éêqueeau de la porte", "Èêenvi ç un queon ouou èèêé.",
+    ],
+)
+def test_capitals_single_letters_and_repeated_words(text):
+    assert detected(text.encode("cp1252"))[:2] == (text, "cp1252")
+
+
+@pytest.mark.parametrize("name", ["koi8-r", "cp1251"])
+def test_other_scripts_among_words_of_ascii(name):
+    for text in ("API reference: функция get_user(id) возвращает объект", "The word означает spring in English texts.", "Windows и Linux - это операционные системы"):
+        assert detected(text.encode(name))[:2] == (text, name)
