@@ -161,7 +161,7 @@ def same_identifier(src: Column, dst: Column) -> Column:
 
 def echo(src: Column, dst: Column) -> Column:
     """Equal without white space and case, or nearly the same set of characters."""
-    a, b = (F.lower(F.regexp_replace(x, r"\s+", "")) for x in (src, dst))
+    a, b = (X.small(F.regexp_replace(x, r"\s+", "")) for x in (src, dst))
     x, y = (F.array_distinct(F.split(v, "")) for v in (a, b))
     alike = F.size(F.array_intersect(x, y)) >= 0.92 * F.size(F.array_union(x, y))
     return (F.char_length(a) >= 8) & (F.char_length(b) >= 8) & ((a == b) | alike)

@@ -203,7 +203,7 @@ c AS (SELECT *, list_distinct(string_split(a, '')) AS x, list_distinct(string_sp
 SELECT conv_id, turn, length(a) >= 8 AND length(b) >= 8 AND (a = b OR common >= 0.92 * (len(x) + len(y) - common)) AS flagged FROM m""")
 def echo_flags(spark, d):
     """Every fourth turn's translation is its source in capitals."""
-    dst = F.when(F.col("turn") % 4 == 0, F.upper("src")).otherwise(F.col("dst"))
+    dst = F.when(F.col("turn") % 4 == 0, X.capitals(F.col("src"))).otherwise(F.col("dst"))
     return _pairs(spark, d).select("conv_id", "turn", C.echo(F.col("src"), dst).alias("flagged"))
 
 

@@ -63,3 +63,20 @@ def test_residue_and_titles(spark):
     assert "source_residue" in tags(spark, "The quick brown foxes jumped over", "他说 the quick brown foxes jumped 了", source="de", target="zh")
     assert "source_residue" in tags(spark, "Привет, как твои дела сегодня", "Привет как твои дела", source="ru", target="zh")
     assert tags(spark, "제품 ABC 200 EX", "产品 ABC 200 EX", source="ko", target="zh") == []
+
+
+def test_case_character_by_character(spark):
+    import duckdb
+
+    newer = (0x19B, 0x264, 0x1C89, 0x1C8A)  # letters that have a second case since Unicode 16
+    texts = [chr(i) for i in range(1, 0x2100) if i not in newer] + [X.WIDE, "Keitß\nEinpflich ﬁ", "ΣΑΣ İi", "", "plain"]
+    want = duckdb.connect().execute("select list(upper(t)), list(lower(t)) from (select unnest($1) as t)", [texts]).fetchall()[0]
+    assert column(spark, texts, X.capitals) == want[0]
+    assert column(spark, texts, X.small) == want[1]
+    assert column(spark, [None], X.capitals) == [None]
+
+
+def test_capitals_of_sharp_s_are_an_echo(spark):
+    text = "Keitß.\nEinpflich einkeit ßzuber."
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(C.echo(F.col("t"), X.capitals(F.col("t")))).first()[0]
