@@ -3,75 +3,174 @@
 from __future__ import annotations
 
 import html
+import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from html.entities import html5
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: elements that stand on lines of their own, and those that aren't seen
 BLOCKS = ("address", "article", "aside", "blockquote", "br", "div", "dl", "dt", "dd", "figure", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul")
 HIDDEN = ("head", "noscript", "template")
 
 #: a page in full: comments and declarations, scripts and styles whole, tags, entities, text
-TOKENS = (
-    r"(?s)<!--.*?-->|<![^>]*+>|<\?[^>]*+>|(?i:<script\b[^>]*+>.*?</script\s*+>|<style\b[^>]*+>.*?</style\s*+>)|</?[A-Za-z](?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>"
+TOKENS = re.compile(
+    r"(?s)<!--.*?-->|<![^>]*+>|<\?[^>]*+>|(?ai:<script\b[^>]*+>.*?</script\s*+>|<style\b[^>]*+>.*?</style\s*+>)|</?[A-Za-z](?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>"
     r"|&(?:#[0-9]++|#[xX][0-9A-Fa-f]++|[A-Za-z][A-Za-z0-9]*+);?|[^<&]++|[<&]"
 )
-SPACE = r"[\s\x0B\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+TAG = re.compile(r"(?a)</?(?:[A-Za-z][^\s/>:]*:)?([A-Za-z][^\s/>:]*)")
+SPACE = " \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUNS = re.compile(f"[{SPACE}]++|[^{SPACE}]++")
+BLANK = re.compile(f"[{SPACE}]+")
+NUMBER = re.compile(r"&#([xX]?)([0-9A-Fa-f]+);?")
+#: the references that HTML names, and the numbers that it reads as Windows-1252
+ENTITIES = {f"&{name}": value for name, value in html5.items()} | {f"&#{n};": html.unescape(f"&#{n};") for n in range(0x80, 0xA0)}
 SAMPLES = 30
+_ROWS = 50_000  # rows of a batch that Python sends
 
+#: what is known of a visible piece beside its page, and of a match
+PIECE = "m long, value string, at long, begin long, end long, exact boolean, marks long"
+MATCH = "n long, start long, stop long, match string, begin long, end long, first long, last long, fault string"
 
-def _entities(spark) -> DataFrame:
-    """(ref, value): the references that HTML names, and the numbers that it reads as Windows-1252."""
-    named = [(f"&{name}", value) for name, value in html5.items()]
-    odd = [(f"&#{n};", html.unescape(f"&#{n};")) for n in range(0x80, 0xA0)]
-    return spark.createDataFrame(named + odd, "_ref string, _value string")
 
+def _decoded(ref: str) -> str:
+    """The characters of an entity, itself where it names none."""
+    if ref in ENTITIES:
+        return ENTITIES[ref]
+    number = NUMBER.fullmatch(ref)
+    if not number:
+        return ref
+    digits = number[2].lstrip("0") or "0"
+    n = 1 << 21 if len(digits) > 7 else int(digits, 16 if number[1] else 10)
+    return "\ufffd" if not n or n > 0x10FFFF or 0xD800 <= n <= 0xDFFF else chr(n)
 
-def _number(ref: Column) -> Column:
-    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9A-Fa-f]+);?$", 1)
-    bare = F.regexp_replace(digits, "^0+(?=.)", "")
-    return F.when(F.char_length(bare) > 7, F.lit(1 << 21)).when(bare != "", F.when(ref.rlike("^&#[xX]"), F.conv(bare, 16, 10)).otherwise(bare).cast("int"))
+
+def _parts(source: str) -> Iterator[tuple[str, str, int, int, int, bool]]:
+    """(kind, value, begin, size in the source, markup before it, is it seen as a character) of blocks, entities, white space and text that aren't hidden."""
+    begin = depth = least = marks = 0
+    for found in TOKENS.finditer(source):
+        token, begin = found[0], found.start()
+        if token[0] == "<" and len(token) > 1 and (token[1] in "/!?" or token[1].isascii() and token[1].isalpha()):
+            name = TAG.match(token)
+            tag = name[1].lower() if name else ""
+            marks += 1
+            if tag in HIDDEN and not token.endswith("/>"):
+                depth += -1 if token[1] == "/" else 1
+                # a closing tag without its opening one hides nothing
+                least = min(least, depth)
+            if tag in BLOCKS and depth <= least:
+                yield "block", "\n", begin, len(token), marks, False
+        elif depth > least:
+            continue
+        elif token[0] == "&" and len(token) > 1:
+            value = _decoded(token)
+            yield "entity", value, begin, len(token), marks, not BLANK.fullmatch(value)
+        else:
+            for run in RUNS.finditer(token):
+                blank = BLANK.match(run[0]) is not None
+                yield "space" if blank else "text", " " if blank else run[0], begin + run.start(), len(run[0]), marks, not blank
+
+
+def _scanned(source: str | None) -> list[tuple]:
+    """The visible pieces of a page as ``PIECE`` has them."""
+    out, at, filled, before = [], 0, False, False
+    for kind, value, begin, size, marks, solid in _parts(source or ""):
+        if kind == "block":
+            kept, filled = filled, False
+        elif kind == "space":
+            kept = before
+        else:
+            kept = filled = True
+        before = solid
+        if kept:
+            line = kind == "block"
+            out.append((len(out), value, at, None if line else begin, None if line else begin + (1 if kind == "space" else size), kind in ("space", "text"), marks))
+            at += len(value)
+    return out
+
+
+def _found(pieces_: list[tuple], gaps: list[int], texts: list[str]) -> list[tuple]:
+    """Matches as ``MATCH`` has them, by the characters between them: their ends are looked up among the pieces."""
+    ats = [p[2] for p in pieces_]
+    lines = list(accumulate(p[3] is None for p in pieces_))
+    following, prior, seen = [None] * len(pieces_), [None] * len(pieces_), None
+    for i in range(len(pieces_) - 1, -1, -1):
+        following[i], seen = seen, seen if pieces_[i][3] is None else pieces_[i][3]
+    seen = None
+    for i, p in enumerate(pieces_):
+        prior[i], seen = seen, seen if p[4] is None else p[4]
+    out, stop = [], 0
+    for n, (gap, text) in enumerate(zip(gaps, texts, strict=True)):
+        start, stop = stop + gap, stop + gap + len(text)
+        if not text:
+            continue
+        i, j = bisect_right(ats, start) - 1, bisect_right(ats, stop - 1) - 1
+        a, b = pieces_[i], pieces_[j]
+        begin = following[i] if a[3] is None else a[3] + start - a[2] if a[5] else a[3]
+        end = prior[j] if b[3] is None else b[3] + stop - b[2] if b[5] else b[4]
+        torn = (not a[5] and start > a[2]) or (not b[5] and stop < b[2] + len(b[1]))
+        fault = "crosses a line end" if lines[j] - lines[i] + (a[3] is None) > 0 else "splits an entity" if torn else None
+        out.append((n, start, stop, text, begin, end, a[0], b[0], fault))
+    return out
+
+
+def _changed(source: str, pieces_: list[tuple], hits: list[tuple], after: str) -> str:
+    """The source with its matches' runs between markup cut out, the first of each replaced; markup stays."""
+    cuts = []
+    for _, start, stop, _, _, _, first, last, fault in hits:
+        runs: dict[int, list[int]] = {}
+        for _, value, at, begin, end, exact, marks in pieces_[first : last + 1] if fault is None else ():
+            low = begin + start - at if exact and start > at else begin
+            high = begin + stop - at if exact and stop < at + len(value) else end
+            run = runs.setdefault(marks, [low, high])
+            run[0], run[1] = min(run[0], low), max(run[1], high)
+        cuts += [(low, high, "" if k else after) for k, (_, (low, high)) in enumerate(sorted(runs.items()))]
+    out, done = [], 0
+    for low, high, put in sorted(cuts):
+        out += [source[done:low], put]
+        done = high
+    return "".join([*out, source[done:]])
+
+
+def _by_page(rows: DataFrame, make: Callable[..., list[tuple]], key: str, ddl: str) -> DataFrame:
+    """(key, ...) rows that ``make`` gives for each row's columns after the key."""
+    schema = T.StructType([rows.schema[key], *T._parse_datatype_string(ddl).fields])
+    kinds = [f.dataType for f in schema.fields[1:]]
+    arrow = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    names, types = schema.names, [arrow[k.simpleString()] for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, made = [], []
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                new = make(*row)
+                of += [i] * len(new)
+                made += new
+                if len(made) >= _ROWS:
+                    yield sent(batch, of, made)
+                    of, made = [], []
+            yield sent(batch, of, made)
+
+    def sent(batch: pa.RecordBatch, of: list[int], made: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*made, strict=True) if made else [()] * len(types)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def pieces(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
     """The visible pieces of a page in order: key, m (from 0), value, at (its place in the visible text), begin, end (its place in the source, null for a line end between blocks), exact (whether its
     characters are those of the source), marks (markup before it).
 
-    White space shows as one space and not at a line's start; entities are decoded; elements that stand for themselves begin and end lines. The
-    windows number the tokens of one page, which is never gathered.
+    White space shows as one space and not at a line's start; entities are decoded; elements that stand for themselves begin and end lines. A page, which is one value of
+    a row, is read once from left to right.
     """
-    spark = pages.sparkSession
-    tokens = pages.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(f"({TOKENS})"), F.lit(1))).alias("_n", "_tok"))
-    upto = Window.partitionBy(key).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    tag = F.lower(F.regexp_extract("_tok", r"^</?(?:[A-Za-z][^\s/>:]*:)?([A-Za-z][^\s/>:]*)", 1))
-    ends, alone = F.col("_tok").startswith("</"), F.col("_tok").endswith("/>")
-    tokens = tokens.withColumns({"_tag": F.when(F.col("_tok").rlike(r"^<[/A-Za-z!?]") & (F.char_length("_tok") > 1), tag), "begin": F.sum(F.char_length("_tok").cast("long")).over(upto) - F.char_length("_tok")})
-    depth = F.when(F.col("_tag").isin(*HIDDEN) & ~alone, F.when(ends, -1).otherwise(1)).otherwise(0)
-    tokens = tokens.withColumn("_open", F.sum(depth).over(upto))
-    # a closing tag without its opening one hides nothing
-    tokens = tokens.withColumns({"_hidden": F.col("_open") > F.least(F.lit(0), F.min("_open").over(upto)), "_marks": F.sum(F.col("_tag").isNotNull().cast("int")).over(upto)})
-    shown = tokens.where(~F.col("_hidden") & (F.col("_tag").isNull() | F.col("_tag").isin(*BLOCKS)))
-    entity = F.col("_tok").rlike(r"^&.") & F.col("_tag").isNull()
-    runs = F.when(F.col("_tag").isNotNull(), F.array(F.lit("\n"))).when(entity, F.array("_tok")).otherwise(F.regexp_extract_all("_tok", F.lit(f"({SPACE}++|[^{SPACE[1:]}++)"), F.lit(1)))
-    parts = shown.select(key, "_n", "begin", "_marks", F.col("_tag").isNotNull().alias("_block"), entity.alias("_entity"), F.posexplode(runs).alias("_k", "_raw"))
-    within = Window.partitionBy(key, "_n").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("begin", F.col("begin") + F.coalesce(F.sum(F.char_length("_raw").cast("long")).over(within), F.lit(0)))
-    known = parts.join(F.broadcast(_entities(spark)), F.col("_entity") & (F.col("_raw") == F.col("_ref")), "left")
-    number = _number(F.col("_raw"))
-    char = F.when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("�")).otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-    space = ~F.col("_block") & ~F.col("_entity") & F.col("_raw").rlike(f"^{SPACE}")
-    value = F.when(F.col("_entity"), F.coalesce("_value", F.when(number.isNotNull(), char), "_raw")).when(space, F.lit(" ")).otherwise(F.col("_raw"))
-    parts = known.select(key, "_n", "_k", "begin", "_marks", "_block", "_entity", space.alias("_space"), value.alias("value"), F.char_length("_raw").alias("_size"))
-    order = Window.partitionBy(key).orderBy("_n", "_k")
-    solid = ~F.col("_space") & ~F.col("_block") & ~(F.col("_entity") & F.col("value").rlike(f"^{SPACE}+$"))
-    parts = parts.withColumns({"_solid": solid, "_filled": F.sum((~F.col("_space") & ~F.col("_block")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    parts = parts.withColumns({"_before": F.lag("_solid").over(order), "_since": F.coalesce(F.max(F.when(F.col("_block"), F.col("_filled"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    kept = parts.where(F.when(F.col("_space"), F.coalesce("_before", F.lit(False))).when(F.col("_block"), F.col("_filled") > F.col("_since")).otherwise(True))
-    size = F.char_length("value").cast("long")
-    kept = kept.withColumns({"m": (F.row_number().over(order) - 1).cast("long"), "at": F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size})
-    end = F.when(F.col("_space"), F.col("begin") + 1).otherwise(F.col("begin") + F.col("_size"))
-    return kept.select(key, "m", "value", "at", F.when(~F.col("_block"), F.col("begin")).alias("begin"), F.when(~F.col("_block"), end).alias("end"), (~F.col("_block") & ~F.col("_entity")).alias("exact"), F.col("_marks").alias("marks"))
+    return _by_page(pages.select(key, source), _scanned, key, PIECE)
 
 
 def visible(found: DataFrame, key: str = "page_id") -> DataFrame:
@@ -79,33 +178,38 @@ def visible(found: DataFrame, key: str = "page_id") -> DataFrame:
     return found.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", "value"))), lambda x: x["value"]), "").alias("text"))
 
 
+def _searched(texts: DataFrame, pattern: str) -> DataFrame:
+    """Adds the characters before each match and the matches to rows with a text.
+
+    Each match begins where the one before ends, so behind the last one a text is read once and not from every place.
+    """
+    of = lambda begin, group: F.regexp_extract_all("text", F.lit(f"(?s){begin}(.*?)({pattern})"), F.lit(group))
+    # after an empty match the next one can't begin at its end
+    found = lambda group: F.when(F.lit("").rlike(pattern), of("", group)).otherwise(of(r"\G", group))
+    return texts.withColumns({"_gaps": F.transform(found(1), lambda g: F.char_length(g).cast("long")), "_texts": found(2)}).where(F.size("_texts") > 0).drop("text")
+
+
 def matches(found: DataFrame, pattern: str, key: str = "page_id") -> DataFrame:
     """Matches of a regular expression without groups in the visible text: key, n, start, stop, match, begin, end (in the source), first, last (pieces), fault.
 
-    Where a match begins or ends is looked up by a window over pieces and places together, so a page with many of both costs their sum. fault says what forbids to
-    replace it: a line end between blocks, or a part of an entity. Empty matches don't count.
+    A page's pieces are gathered and a match's ends looked up among them, so a page with many of both costs little more than their sum. fault says what forbids to
+    replace it: a line end between blocks, or a part of an entity. Empty matches don't count. ``page_matches`` finds them without a shuffle.
     """
-    hits = visible(found, key).select(key, F.arrays_zip(F.regexp_extract_all("text", F.lit(f"(?s)(.*?)({pattern})"), F.lit(1)).alias("gap"), F.regexp_extract_all("text", F.lit(f"(?s)(.*?)({pattern})"), F.lit(2)).alias("match")).alias("x"))
-    hits = hits.select(key, F.posexplode("x").alias("n", "x")).select(key, F.col("n").cast("long").alias("n"), F.char_length("x.gap").cast("long").alias("_gap"), "x.match")
-    order = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.char_length("match").cast("long")
-    hits = hits.withColumn("stop", F.sum(F.col("_gap") + size).over(order)).withColumn("start", F.col("stop") - size).where("match <> ''").drop("_gap")
-    around = Window.partitionBy(key).orderBy("m")
-    rows = found.withColumns({"_next": F.first("begin", True).over(around.rowsBetween(1, Window.unboundedFollowing)), "_prev": F.last("end", True).over(around.rowsBetween(Window.unboundedPreceding, -1)), "_lines": F.sum(F.col("begin").isNull().cast("int")).over(around.rowsBetween(Window.unboundedPreceding, 0))})
-    piece = F.struct("m", "at", F.char_length("value").alias("size"), "begin", "end", "exact", "_next", "_prev", "_lines")
-    none = F.lit(None)
-    points = rows.select(key, F.col("at").alias("_at"), F.lit(0).alias("_kind"), none.cast("long").alias("n"), piece.alias("_p"))
-    for kind, place in ((1, F.col("start")), (2, F.col("stop") - 1)):
-        points = points.unionByName(hits.select(key, place.alias("_at"), F.lit(kind).alias("_kind"), "n", none.cast(points.schema["_p"].dataType).alias("_p")))
-    reached = points.withColumn("_p", F.last("_p", True).over(Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))).where("_kind > 0")
-    both = reached.groupBy(key, "n").agg(F.max(F.when(F.col("_kind") == 1, F.col("_p"))).alias("a"), F.max(F.when(F.col("_kind") == 2, F.col("_p"))).alias("b"))
-    out = hits.join(both, [key, "n"])
-    begin = F.when(F.col("a.begin").isNull(), F.col("a._next")).when(F.col("a.exact"), F.col("a.begin") + F.col("start") - F.col("a.at")).otherwise(F.col("a.begin"))
-    end = F.when(F.col("b.begin").isNull(), F.col("b._prev")).when(F.col("b.exact"), F.col("b.begin") + F.col("stop") - F.col("b.at")).otherwise(F.col("b.end"))
-    lines = F.col("b._lines") - F.col("a._lines") + F.col("a.begin").isNull().cast("int")
-    torn = (~F.col("a.exact") & (F.col("start") > F.col("a.at"))) | (~F.col("b.exact") & (F.col("stop") < F.col("b.at") + F.col("b.size")))
-    fault = F.when(lines > 0, "crosses a line end").when(torn, "splits an entity")
-    return out.select(key, "n", "start", "stop", "match", begin.alias("begin"), end.alias("end"), F.col("a.m").alias("first"), F.col("b.m").alias("last"), fault.alias("fault"))
+    rows = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("m", "value", "at", "begin", "end", "exact", "marks"))).alias("_p"))
+    texts = _searched(rows.withColumn("text", F.array_join(F.transform("_p", lambda x: x["value"]), "")), pattern)
+    return _by_page(texts.select(key, "_p", "_gaps", "_texts"), lambda p, gaps, hits: _found([tuple(x.values()) for x in p], gaps, hits), key, MATCH)
+
+
+def _page_texts(pages: DataFrame, pattern: str, key: str, source: str) -> DataFrame:
+    """(key, source, _gaps, _texts) of the pages with a match."""
+    shown = _by_page(pages.select(key, source), lambda x: [(x, "".join(p[1] for p in _scanned(x)))], key, "_source string, text string")
+    return _searched(shown, pattern)
+
+
+def page_matches(pages: DataFrame, pattern: str, key: str = "page_id", source: str = "html") -> DataFrame:
+    """``matches`` of the pages' ``pieces``, with the source between begin and end as ``source``; each page is scanned for its text and for its matches' places, and nothing is shuffled."""
+    place = lambda x, gaps, texts: [(*h, x[h[4] : h[5]]) for h in _found(_scanned(x), gaps, texts)]
+    return _by_page(_page_texts(pages, pattern, key, source), place, key, f"{MATCH}, source string")
 
 
 def edits(found: DataFrame, hits: DataFrame, replacement: str, key: str = "page_id") -> DataFrame:
@@ -134,11 +238,16 @@ def replacement_plan(pages: DataFrame, pattern: str, replacement: str, expected:
 
     expected: (key, fingerprint) of an earlier plan; pages that have changed since then, or weren't in it, are ``changed``.
     """
-    found = pieces(pages, key, source)
-    hits = matches(found, pattern, key)
-    counts = hits.groupBy(key).agg(F.count(F.lit(1)).alias("matches"), F.count("fault").alias("faults"))
-    new = applied(pages.select(key, source), edits(found, hits, replacement, key), key, source).select(key, "updated")
-    rows = pages.select(key, F.sha2(F.col(source), 256).alias("fingerprint")).join(counts, key).join(new, key, "left")
+    after = html.escape(replacement, quote=False)
+
+    def planned(text: str, gaps: list[int], texts: list[str]) -> list[tuple]:
+        found = _scanned(text)
+        hits = _found(found, gaps, texts)
+        faults = sum(h[-1] is not None for h in hits)
+        return [(len(hits), faults, text, None if faults else _changed(text, found, hits, after))] if hits else []
+
+    rows = _by_page(_page_texts(pages, pattern, key, source), planned, key, "matches long, faults long, _source string, updated string")
+    rows = rows.withColumn("fingerprint", F.sha2("_source", 256)).drop("_source")
     if expected is not None:
         rows = rows.join(expected.select(key, F.col("fingerprint").alias("_was")), key, "left")
     else:

@@ -282,3 +282,24 @@ def test_volumes_before_side_stories(spark):
     assert [n for n in got if "플로나" in n] == names[:5]
     keys = {r.name: tuple(r.k) for r in rows.select("name", state.volume_key(F.col("name")).alias("k")).collect()}
     assert keys["다른 vol 1.epub"][1:] == (False, 1) and keys["다른 Side Story.epub"][1:] == (True, 999_999) and keys["[플로나] 모두가 외전 2.epub"][1:] == (True, 2)
+
+
+def test_long_pages_are_searched_once(spark):
+    """What follows the last match is read once, not from each of its places."""
+    import time
+
+    page = "<p>a world</p><p>" + "no word here " * 15_000 + "</p>"
+    df = spark.createDataFrame([(1, page), (2, page.replace("world", "word")), (3, None)], "page_id int, html string")
+    started = time.monotonic()
+    assert [(r.page_id, r.n, r.begin, r.end, r.source) for r in markup.page_matches(df, r"worl[d]").collect()] == [(1, 0, 5, 10, "world")]
+    plan = markup.replacement_plan(df, r"worl[d]", "Z").collect()
+    assert [(r.page_id, r.matches, r.state, r.updated) for r in plan] == [(1, 1, "ready", page.replace("world", "Z"))]
+    assert time.monotonic() - started < 60
+
+
+def test_page_matches_are_those_of_the_pieces(spark):
+    pattern = r"world|\w+ & more|Next.|AB|&bogus|x\ny|j|d 1|€|line|b.?d"
+    want = {tuple(r) for r in markup.matches(markup.pieces(pages(spark)), pattern).collect()}
+    got = {tuple(r)[:-1]: r.source for r in markup.page_matches(pages(spark), pattern).collect()}
+    assert set(got) == want and len(want) > 5
+    assert all(source == PAGES[r[0]][r[5] : r[6]] for r, source in got.items())
