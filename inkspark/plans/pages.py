@@ -41,9 +41,7 @@ matched AS (SELECT page_id, n, start, stop, match, min(low) AS begin, max(high)
 @query(f'WITH {PIECES} SELECT page_id, n::BIGINT AS n, start::BIGINT AS start, stop::BIGINT AS stop, match, begin::BIGINT AS begin, fin::BIGINT AS "end", substr(html, begin::INT + 1, (fin - begin)::INT) AS source, fault FROM matched JOIN pages USING (page_id)')
 def visible_matches(spark, d):
     """Where two words that a reader sees next to each other stand in a page's source, markup between them or not."""
-    pages = S.table(spark, d, "pages")
-    hits = markup.matches(markup.pieces(pages), WORDS).drop("first", "last").join(pages.select("page_id", "html"), "page_id")
-    return hits.withColumn("source", F.substr("html", F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin")).cast("int"))).drop("html")
+    return markup.page_matches(S.table(spark, d, "pages"), WORDS).drop("first", "last")
 
 
 @query(f"""WITH {PIECES}, runs AS (SELECT page_id, n, marks, min(low) AS low, max(high) AS high, row_number() OVER (PARTITION BY page_id, n ORDER BY marks) AS r FROM part WHERE NOT EXISTS (SELECT 1 FROM matched x WHERE x.page_id = part.page_id AND x.n = part.n AND x.fault IS NOT NULL) GROUP BY page_id, n, marks),
