@@ -167,6 +167,15 @@ def test_lm_scoring_writes_no_asked_ngrams(spark, docs, monkeypatch):
 
 
 
+def test_registered_lm_scores_are_of_order_three(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("held_out", lm_score.crc_mod("doc_id", 5) == 1)
+    want = {r.doc_id: r.score for r in lm_score.score(d, *lm_score.train(d.where("not held_out"), order=3)).collect()}
+    got = {r.doc_id: r.score for r in registry.QUERIES["op3_lm_score"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 * abs(want[k]) for k in want)
+    two = {r.doc_id: r.score for r in lm_score.query(spark, SF).collect()}
+    assert sum(abs(got[k] - two[k]) > 1e-6 for k in want) > len(want) / 2
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_scores_are_whole_when_little_is_broadcast(spark, docs, order):
     """The shares bound what is broadcast; rarer words and n-grams count all the same."""
