@@ -16,32 +16,46 @@ from inkspark.operators import glossary
 def excerpts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", examples: int = 3, around: int = 80) -> DataFrame:
     """(src, n, key, at, excerpt): each term's first ``examples`` different excerpts, by document and place; case counts, occurrences of a term don't overlap.
 
-    White space in an excerpt is collapsed before excerpts are compared. Which document holds which term comes from a join by grams; only those pairs
-    are cut. A text is searched once from left to right, up to its own first ``examples`` different excerpts: a later one can't be among the
+    White space in an excerpt is collapsed before excerpts are compared. Terms that are few enough to be sent go to the texts; for more of them a join by grams
+    says which document holds which. A text is searched once from left to right, up to its own first ``examples`` different excerpts: a later one can't be among the
     term's first. Equal excerpts of different texts are collapsed to their first place; what differs is then thinned in 64 groups by the
     excerpt's hash before the term's own, so a common term is no single task.
     """
-    exact = terms.withColumn("case_sensitive", F.lit(True))
-    asked = glossary.matched(docs.select(key, F.col(text).alias("line")), exact, (key,)).select(key, "src").join(docs.select(key, F.col(text).alias("_t")), key).select(key, "src", "_t")
-    schema = T.StructType([*asked.schema.fields[:2], T.StructField("at", T.LongType()), T.StructField("excerpt", T.StringType())])
+    exact = terms.withColumn("case_sensitive", F.lit(True)).select("src", "case_sensitive")
+    schema = T.StructType([docs.schema[key], terms.schema["src"], T.StructField("at", T.LongType()), T.StructField("excerpt", T.StringType())])
+    table = glossary.sent(exact)
+
+    def excerpts_of(src: str, whole: str) -> Iterator[tuple[int, str]]:
+        seen: set[str] = set()
+        at = whole.find(src)
+        while at >= 0 and len(seen) < examples:
+            excerpt = " ".join(whole[max(at - around, 0) : at + len(src) + around].split())
+            if excerpt and excerpt not in seen:
+                seen.add(excerpt)
+                yield at, excerpt
+            at = whole.find(src, at + len(src))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value if shared else None
         for batch in batches:
-            rows, ats, cuts = [], [], []
-            for i, (src, whole) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                seen: set[str] = set()
-                at = whole.find(src)
-                while at >= 0 and len(seen) < examples:
-                    excerpt = " ".join(whole[max(at - around, 0) : at + len(src) + around].split())
-                    if excerpt and excerpt not in seen:
-                        seen.add(excerpt)
-                        rows.append(i)
-                        ats.append(at)
-                        cuts.append(excerpt)
-                    at = whole.find(src, at + len(src))
-            part = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ats, pa.int64()), pa.array(cuts, pa.string())], [*part.schema.names, "at", "excerpt"])
-
+            places, found = [], []
+            for i, (whole, given) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                held = () if not whole else (index.terms[t][0] for t in index.of(whole)) if index else (given,)
+                for src in held:
+                    for at, excerpt in excerpts_of(src, whole):
+                        places.append(i)
+                        found.append((src, at, excerpt))
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            kept = batch.column(0).take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept, *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True))], schema.names)
+
+    texts = docs.select(key, F.col(text).alias("_t"))
+    if table is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(glossary.index_of(table))
+        asked = texts.withColumn("src", F.lit(None).cast("string"))
+    else:
+        shared = None
+        asked = glossary.joined(docs.select(key, F.col(text).alias("line")), exact, (key,)).select(key, "src").join(texts, key).select(key, "_t", "src")
     rows = asked.mapInArrow(cut, schema)
     once = rows.groupBy("src", "excerpt").agg(F.min(F.struct(key, "at")).alias("x")).select("src", "excerpt", f"x.{key}", "x.at")
     w = Window.partitionBy("src", F.pmod(F.xxhash64("excerpt"), F.lit(64))).orderBy(key, "at")

@@ -231,3 +231,39 @@ def test_recovery(spark):
     files = spark.createDataFrame([("f1", b"x", 1), ("f2", b"x", 2), ("f3", b"y", 3)], "name string, content binary, ord int")
     assert {r.name: r.kept_as for r in R.first_of_content(files).collect()} == {"f1": "f1", "f2": "f1", "f3": "f3"}
     assert R.located(lines(spark, "see Chapter One", "chapter one"), "Chapter One").first().seg_idx == 1
+
+
+def _words_and_terms(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    parts = ["Ab", "ab", "abc", "Gate of", "gate", "x\ty", "é", "한국어 글", "국어", "q", " lead", "none here", "Straße", ""]
+    rows = spark.createDataFrame([(i // 9, i % 9, "".join(r.choice([*parts, " ", "\t", " "], size=int(r.integers(0, 14))))) for i in range(400)] + [(99, 0, None)], "doc_id long, seg_idx long, line string")
+    terms = spark.createDataFrame([(p, c, f"{p}!") for p in [*parts, "of gate", "c a", None] for c in (True, False, None)] + [("gate", True, "gate!")], "src string, case_sensitive boolean, dst string")
+    return rows, terms
+
+
+def test_sent_terms_equal_those_met_by_a_join(spark):
+    rows, terms = _words_and_terms(spark)
+    got, want = (sorted(map(str, f(rows, terms).collect())) for f in (glossary.matched, glossary.joined))
+    assert got == want and len(got) > 500
+
+
+def test_matching_shuffles_no_lines(spark):
+    rows, terms = _words_and_terms(spark)
+    assert "Exchange" not in glossary.matched(rows, terms)._jdf.queryExecution().toString()
+
+
+def test_excerpts_shuffle_no_texts(spark):
+    rows, terms = _words_and_terms(spark)
+    docs = rows.select(F.expr("doc_id * 10 + seg_idx").alias("doc_id"), F.col("line").alias("text"))
+    plan = context.excerpts(docs, terms.where("src is not null and src <> ''").select("src").distinct())
+    assert "Join" not in plan._jdf.queryExecution().toString() and plan.count() > 10
+
+
+def test_common_words_count_documents(spark, monkeypatch):
+    texts = [(1, "Example, words example"), (1, "“other” example!"), (2, "EXAMPLE\tother-example short"), (3, "«other» examples (example)"), (None, "example"), (4, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for sent in (glossary.SENT, 1):
+        monkeypatch.setattr(glossary, "SENT", sent)
+        assert sorted(r.src for r in glossary.common_words(docs, 5, 2).collect()) == ["example"]
